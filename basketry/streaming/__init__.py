@@ -1,0 +1,5 @@
+"""Left empty on purpose.
+
+The analytics covered by this library work on complete batch tables: there is
+no watermark, no window over a stream and no state to carry between batches.
+"""
