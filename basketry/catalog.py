@@ -25,11 +25,15 @@ EVENT_BOUNCE = 10
 
 @dataclass(frozen=True)
 class Query:
-    """A query, the reader's choices and options of the tables it reads."""
+    """A query, the reader's choices and options of the tables it reads.
+
+    ``frames`` are optional further inputs: name -> (table, columns).
+    """
 
     run: Callable[..., DataFrame]
     choices: dict = field(default_factory=dict)
     table_options: dict = field(default_factory=dict)
+    frames: dict = field(default_factory=dict)
 
     def on_sample(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         """The query over whole sample tables; money is shown as double."""
@@ -38,7 +42,11 @@ class Query:
             sample.TABLES[table](spark, sf_dir, columns, **self.table_options.get(table, {}))
             for table, columns in self.run.needs.items()
         ]
-        return money_as_double(self.run(*frames, **self.choices))
+        extra = {
+            name: sample.TABLES[table](spark, sf_dir, columns)
+            for name, (table, columns) in self.frames.items()
+        }
+        return money_as_double(self.run(*frames, **self.choices, **extra))
 
 
 def money_as_double(df: DataFrame) -> DataFrame:
@@ -51,6 +59,8 @@ def money_as_double(df: DataFrame) -> DataFrame:
 
 _pages = {"events": PAGE_EVENTS}
 _cart = {"cart_event": CART_EVENT}
+# The latest order date needs neither lines nor names.
+_order_span = {"span": ("orders", ("Order_Created_At",))}
 _until_journey = {"as_of": JOURNEY_AS_OF}
 _until_orders = {"as_of": ORDERS_AS_OF}
 
@@ -100,7 +110,7 @@ QUERIES: dict[str, Query] = {
     ),
     # orders
     "ord_total": Query(orders.total),
-    "ord_filtered": Query(orders.filtered),
+    "ord_filtered": Query(orders.filtered, frames=_order_span),
     "ord_weekday_weekend": Query(orders.weekday_weekend),
     "ord_by_weekday_name": Query(orders.by_weekday_name),
     "ord_by_hour": Query(orders.by_hour),
@@ -146,7 +156,7 @@ QUERIES: dict[str, Query] = {
     "rev_total": Query(revenue.total),
     "rev_avg": Query(revenue.average),
     "rev_refund_total": Query(revenue.refund_total),
-    "rev_filtered": Query(revenue.filtered),
+    "rev_filtered": Query(revenue.filtered, frames=_order_span),
     "rev_weekday_weekend": Query(revenue.weekday_weekend),
     "rev_by_weekday_name": Query(revenue.by_weekday_name),
     "rev_by_hour": Query(revenue.by_hour),

@@ -43,16 +43,20 @@ def year(ts: Column) -> Column:
     return F.year(F.to_date(ts))
 
 
+def is_weekend(ts: Column) -> Column:
+    """True on Saturday and Sunday; a missing time counts as a weekday."""
+    return F.coalesce(F.weekday(F.to_date(ts)) >= 5, F.lit(False))
+
+
 def weekday_weekend(ts: Column) -> Column:
-    """``Weekend`` on Saturday and Sunday; a missing time counts as ``Weekday``."""
-    is_weekend = F.weekday(F.to_date(ts)) >= 5
-    return F.when(is_weekend, F.lit(WEEKEND)).otherwise(F.lit(WEEKDAY))
+    """``Weekend`` or ``Weekday``, by :func:`is_weekend`."""
+    return F.when(is_weekend(ts), F.lit(WEEKEND)).otherwise(F.lit(WEEKDAY))
 
 
 def weekday_name(ts: Column) -> Column:
     """English day name; null for a missing time."""
     names = F.array(*[F.lit(name) for name in WEEKDAY_NAMES])
-    return names[F.weekday(F.to_date(ts))]
+    return F.get(names, F.weekday(F.to_date(ts)))
 
 
 def hour_of_day(ts: Column) -> Column:

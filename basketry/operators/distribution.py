@@ -8,14 +8,13 @@ nothing is collected and nothing is cross joined.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from basketry.functions.text import decimal_text
 
 # An amount in cents is split into three digits to this base, which covers
-# decimal(18,2) and bounds every histogram below by a million rows per prefix.
+# decimal(18,2): no window below ever sorts more than a million rows at once.
 _BASE = 1_000_000
 _DIGITS = ("high", "middle", "low")
 
@@ -27,79 +26,62 @@ def amount_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def _as_digits(counts: DataFrame) -> DataFrame:
-    base = F.lit(_BASE).cast("bigint")
-    cents = counts.where(F.col("amount").isNotNull()).select(
-        (F.col("amount") * 100).cast("bigint").alias("cents"), "weight"
-    )
-    split = cents.withColumn("low", F.pmod("cents", base))
-    split = split.withColumn("rest", F.expr(f"(cents - low) div {_BASE}"))
-    split = split.withColumn("middle", F.pmod("rest", base))
-    split = split.withColumn("high", F.expr(f"(rest - middle) div {_BASE}"))
-    return split.select(*_DIGITS, "weight")
+    cents = (F.col("amount") * 100).cast("bigint").alias("cents")
+    low = F.pmod("cents", F.lit(_BASE)).alias("low")
+    known = counts.where(F.col("amount").isNotNull()).select("amount", "weight", cents)
+    known = known.select("*", low).withColumn("rest", F.expr(f"(cents - low) div {_BASE}"))
+    known = known.withColumn("middle", F.pmod("rest", F.lit(_BASE)))
+    return known.withColumn("high", F.expr(f"(rest - middle) div {_BASE}"))
 
 
-def _refine(digits: DataFrame, level: int, state: DataFrame, targets: list[str]) -> DataFrame:
-    """Fix one more digit of every target.
+def rows_before(counts: DataFrame) -> DataFrame:
+    """Per distinct amount, the number of rows with a smaller one (``before``).
 
-    ``state`` is one row holding, per target, the digits fixed so far and the
-    rank left among the amounts that share them.
+    A running total in amount order without one task sorting all amounts: totals
+    run over the leading digits, over the next digits within each, and so on,
+    and are added up.
     """
-    fixed, digit = list(_DIGITS[:level]), _DIGITS[level]
-    rows = digits.withColumn("state", state.select(F.struct(*targets)).scalar())
-
-    def shares_prefix(target: str) -> Column:
-        same = [F.col(d) == F.col("state")[target][d] for d in fixed]
-        return reduce(lambda a, b: a & b, same, F.lit(True))
-
-    if fixed:
-        rows = rows.where(reduce(lambda a, b: a | b, map(shares_prefix, targets)))
-    sizes = rows.groupBy(*fixed, digit).agg(
-        F.sum("weight").alias("weight"), F.any_value("state").alias("state")
-    )
-    running = F.sum("weight").over(Window.partitionBy(*fixed).orderBy(digit))
-    sizes = sizes.withColumn("before", running - F.col("weight"))
-
-    def next_state(target: str) -> Column:
-        rank = F.col("state")[target]["rank"] - F.col("before")
-        hit = shares_prefix(target) & (rank >= 0) & (rank < F.col("weight"))
-        found = F.struct(*fixed, digit, rank.alias("rank"))
-        return F.max(F.when(hit, found)).alias(target)
-
-    return sizes.agg(*map(next_state, targets))
+    digits = _as_digits(counts)
+    ranked = None
+    for level in reversed(range(len(_DIGITS))):
+        prefix, digit = list(_DIGITS[:level]), _DIGITS[level]
+        in_order = Window.partitionBy(*prefix).orderBy(digit)
+        running = F.sum("weight").over(in_order) - F.col("weight")
+        if ranked is None:
+            ranked = digits.select("amount", *_DIGITS, "weight", running.alias("before"))
+            continue
+        totals = digits.groupBy(*prefix, digit).agg(F.sum("weight").alias("weight"))
+        offsets = totals.select(*prefix, digit, running.alias("offset"))
+        ranked = ranked.join(offsets, [*prefix, digit]).select(
+            "amount", *_DIGITS, "weight", (F.col("before") + F.col("offset")).alias("before")
+        )
+    return ranked.select("amount", "weight", "before")
 
 
 def exact_quantiles(counts: DataFrame, quantiles: Sequence[float]) -> DataFrame:
     """One row with the linearly interpolated quantiles ``q0``, ``q1``, ...
 
-    An exact quantile needs the amounts at two ranks. Instead of gathering the
-    distinct amounts in one task, they are found digit by digit: count amounts
-    per leading digit, keep the digit that holds the rank, go on inside it.
     Null amounts do not take part; all quantiles are null without amounts.
     """
-    digits = _as_digits(counts)
-    total = digits.agg(F.sum("weight").alias("n"))
-    position = {f"q{i}": (F.col("n") - 1) * F.lit(float(q)) for i, q in enumerate(quantiles)}
-    ranks = {}
-    for name, at in position.items():
-        ranks[f"{name}_below"] = F.floor(at)
-        ranks[f"{name}_above"] = F.ceil(at)
-    targets = list(ranks)
-    state = total.select(
-        *[F.struct(rank.alias("rank")).alias(target) for target, rank in ranks.items()]
+    known = counts.where(F.col("amount").isNotNull())
+    total = known.agg(F.sum("weight").alias("n")).scalar()
+    ranked = rows_before(counts).withColumn("n", total)
+
+    def amount_at(rank: Column) -> Column:
+        here = (F.col("before") <= rank) & (rank < F.col("before") + F.col("weight"))
+        return F.max(F.when(here, F.col("amount"))).cast("double")
+
+    positions = [(F.col("n") - 1) * F.lit(float(q)) for q in quantiles]
+    ends = ranked.agg(
+        F.max("n").alias("n"),
+        *[amount_at(F.floor(at)).alias(f"below{i}") for i, at in enumerate(positions)],
+        *[amount_at(F.ceil(at)).alias(f"above{i}") for i, at in enumerate(positions)],
     )
-    for level in range(len(_DIGITS)):
-        state = _refine(digits, level, state, targets)
-
-    def amount(target: str) -> Column:
-        high, middle, low = (F.col(target)[d] for d in _DIGITS)
-        return ((high * _BASE + middle) * _BASE + low).cast("double") / 100
-
-    found = state.withColumn("n", total.scalar())
     values = []
-    for name, at in position.items():
-        below, above = amount(f"{name}_below"), amount(f"{name}_above")
-        values.append((below + (above - below) * (at - F.floor(at))).alias(name))
-    return found.select(*values)
+    for i, at in enumerate(positions):
+        below, above = F.col(f"below{i}"), F.col(f"above{i}")
+        values.append((below + (above - below) * (at - F.floor(at))).alias(f"q{i}"))
+    return ends.select(*values)
 
 
 def _histogram_shape(counts: DataFrame) -> DataFrame:

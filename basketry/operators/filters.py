@@ -34,6 +34,7 @@ def filter_by_date(
     start: dt.date | None = None,
     end: dt.date | None = None,
     whole_end_day: bool = False,
+    span: DataFrame | None = None,
 ) -> DataFrame:
     """Rows from ``start`` to ``end``, both meaning midnight of that date.
 
@@ -43,7 +44,8 @@ def filter_by_date(
 
     The earliest date's midnight excludes nothing, so only a missing ``end``
     costs a pass over the column (a scalar subquery, so the bound reaches the
-    file scan like a literal).
+    file scan like a literal). ``span`` may name a cheaper frame with the same
+    latest date than ``df`` itself.
     """
     when = F.col(column)
     kept = df.where(when.isNotNull())
@@ -52,7 +54,8 @@ def filter_by_date(
     if end is None and whole_end_day:
         return kept
     if end is None:
-        last_day = df.select(F.to_date(F.max(column)).cast("timestamp_ntz").alias("end"))
+        dates = df if span is None else span
+        last_day = dates.select(F.to_date(F.max(column)).cast("timestamp_ntz").alias("end"))
         return kept.where(when <= last_day.scalar())
     if whole_end_day:
         after = end + dt.timedelta(days=1)

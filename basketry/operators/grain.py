@@ -1,33 +1,42 @@
 """One row per key out of many.
 
 "First" and "last" always refer to an explicit order column. All operators are
-plain min / max aggregates over ``(order, value)`` structs rather than ranking
-windows: they combine before the shuffle (a hot key never gathers in one task),
-do not depend on how rows are spread, and are insensitive to duplicates, so
-Catalyst may drop a left join that only repeats rows.
+plain aggregates rather than ranking windows: they combine before the shuffle (a
+hot key never gathers in one task) and do not depend on how rows are spread.
+
+By default rows are compared as ``(order, value)`` structs with min / max. That
+is insensitive to repeated rows, so Catalyst may drop a left join that only
+repeats them, but structs are aggregated by sorting. ``hashed=True`` picks with
+min_by instead: where order and values are numbers, dates or times this runs as
+a hash aggregate, which suits many rows per key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from basketry.operators.grouping import group_nonnull
 
 ORDER = "row_order"
 
 
+def first_value(column: str, order: str = ORDER, hashed: bool = False) -> Column:
+    """Aggregate: the first non-null value of a column."""
+    known = F.col(column).isNotNull()
+    if hashed:
+        return F.min_by(column, F.when(known, F.col(order)))
+    return F.min(F.when(known, F.struct(F.col(order), F.col(column))))[column]
+
+
 def first_non_null(
-    df: DataFrame, keys: list[str], columns: list[str], order: str = ORDER
+    df: DataFrame, keys: list[str], columns: list[str], order: str = ORDER, hashed: bool = False
 ) -> DataFrame:
     """Per key, the first non-null value of each column on its own.
 
     Rows with a null key are dropped. Values of different columns may come from
     different rows.
     """
-    firsts = [
-        F.min(F.when(F.col(c).isNotNull(), F.struct(F.col(order), F.col(c))))[c].alias(c)
-        for c in columns
-    ]
+    firsts = [first_value(c, order, hashed).alias(c) for c in columns]
     return group_nonnull(df, *keys).agg(*firsts)
 
 

@@ -12,7 +12,6 @@ def not_in(df: DataFrame, column: str, other: DataFrame, other_column: str | Non
     the shuffle, so neither the number of repeats nor a hot value matters for
     the anti join, which could not split a skewed right side.
     """
-    present = (
-        other.select(F.col(other_column or column).alias(column)).distinct()
-    )
+    values = other.select(F.col(other_column or column).alias(column))
+    present = values.where(F.col(column).isNotNull()).distinct()
     return df.where(F.col(column).isNotNull()).join(present, column, "left_anti")

@@ -37,8 +37,8 @@ def filtered(abandoned: DataFrame, start: dt.date | None = None, end: dt.date |
 
 @requires(abandoned=_TIMED)
 def weekday_weekend(abandoned: DataFrame) -> DataFrame:
-    flag = cal.weekday_weekend(F.col("Order_Created_At"))
-    return profiles.weekday_weekend(order_times(abandoned), flag)
+    is_weekend = cal.is_weekend(F.col("Order_Created_At"))
+    return profiles.weekday_weekend(order_times(abandoned), is_weekend)
 
 
 @requires(abandoned=_TIMED)

@@ -16,7 +16,7 @@ from basketry.functions.ratios import exact_mean, percentage, ratio, rounded, su
 from basketry.functions.text import duration_label, id_text
 from basketry.operators import series
 from basketry.operators.filters import drop_nulls, filter_by_date, one_of
-from basketry.operators.grain import ORDER, first_non_null, row_at_max
+from basketry.operators.grain import ORDER, first_non_null, first_value, row_at_max
 from basketry.operators.grouping import (
     distinct_by, distinct_count, group_nonnull, max_by_key, sum_by, value_counts,
 )
@@ -78,16 +78,16 @@ def filtered(journey: DataFrame, start: dt.date | None = None, end: dt.date | No
 
 
 def _first_per_session(journey: DataFrame, name: str, value: Column) -> DataFrame:
-    """Per session, the first known value of an expression over its events."""
-    return first_non_null(journey.withColumn(name, value), _SESSION, [name])
+    """Per session, the first known value of a fixed-width expression over its events."""
+    events = journey.withColumn(name, value)
+    return first_non_null(events, _SESSION, [name], hashed=True)
 
 
 @requires(journey=_TIMED)
 def sessions_weekday_weekend(journey: DataFrame) -> DataFrame:
     """Sessions on weekdays and weekends, by the first event of the session."""
-    flag = cal.weekday_weekend(F.col("Event_Time"))
-    sessions = _first_per_session(journey, "Weekday_Weekend", flag)
-    return profiles.weekday_weekend(sessions, F.col("Weekday_Weekend"))
+    sessions = _first_per_session(journey, "weekend", cal.is_weekend(F.col("Event_Time")))
+    return profiles.weekday_weekend(sessions, F.col("weekend"))
 
 
 @requires(journey=_SESSION_TIME)
@@ -116,9 +116,7 @@ def avg_sessions_per_customer(journey: DataFrame) -> DataFrame:
 @requires(journey=("Customer_IP", "session", "Event_Time", "Time_On_Page", ORDER))
 def longest_sessions(journey: DataFrame, n: int = 10) -> DataFrame:
     """The n sessions with most time on page and the date they began."""
-    first_time = F.min(
-        F.when(F.col("Event_Time").isNotNull(), F.struct(ORDER, "Event_Time"))
-    )["Event_Time"]
+    first_time = first_value("Event_Time", hashed=True)
     sessions = group_nonnull(journey, "session", "Customer_IP").agg(
         sum_or_zero(F.col("Time_On_Page")).alias("seconds"),
         cal.day(first_time).alias("Event_time"),
@@ -214,8 +212,8 @@ def cart_total(journey: DataFrame, cart_event: str = CART_EVENT) -> DataFrame:
 @requires(journey=_TIMED)
 def sessions_by_weekday_name(journey: DataFrame) -> DataFrame:
     """Sessions per day of the week, by their first event with a time."""
-    sessions = _first_per_session(journey, "day_name", cal.weekday_name(F.col("Event_Time")))
-    return profiles.by_weekday_name(sessions, F.col("day_name"))
+    sessions = _first_per_session(journey, "day", cal.day(F.col("Event_Time")))
+    return profiles.by_weekday_name(sessions, cal.weekday_name(F.col("day")))
 
 
 @requires(journey=_TIMED)
@@ -295,24 +293,29 @@ def bounce_rate_event(
     had are reported with 0.
 
     One pass: sessions are reduced to their last page event and the page events
-    seen, then to (event, visitor) pairs.
+    seen, then to (event, visitor) pairs. Events are handled by their position
+    in the list, which keeps the first, largest aggregate fixed-width.
     """
-    pages = one_of(journey, "Event", events)
-    last = F.max(F.struct(ORDER, "Event", "Time_On_Page"))
+    positions = range(len(events))
+    names = F.array(*[F.lit(e) for e in events])
+    pages = one_of(journey, "Event", events).withColumn(
+        "page", F.array_position(names, F.col("Event")) - 1
+    )
     sessions = pages.groupBy(*_SESSION).agg(
-        last.alias("last"), F.collect_set("Event").alias("seen")
+        F.max_by("page", ORDER).alias("last_page"),
+        F.max_by("Time_On_Page", ORDER).alias("last_time"),
+        *[F.max(F.col("page") == p).alias(f"saw_{p}") for p in positions],
     )
+    seen = F.array(*[F.when(F.col(f"saw_{p}"), F.lit(p)) for p in positions])
     visits = sessions.select(
-        "Customer_IP",
-        F.explode("seen").alias("Event"),
-        F.col("last")["Event"].alias("last_event"),
-        F.col("last")["Time_On_Page"].alias("last_time"),
+        "Customer_IP", "last_page", "last_time", F.explode(F.array_compact(seen)).alias("page")
     )
-    bounced = (F.col("Event") == F.col("last_event")) & (F.col("last_time") < threshold)
-    visitors = group_nonnull(visits, "Event", "Customer_IP").agg(
+    bounced = (F.col("page") == F.col("last_page")) & (F.col("last_time") < threshold)
+    visitors = group_nonnull(visits, "page", "Customer_IP").agg(
         F.max(F.coalesce(bounced, F.lit(False))).alias("bounced")
     )
-    rates = visitors.groupBy("Event").agg(
+    rates = visitors.groupBy("page").agg(
         rounded(percentage(F.count_if("bounced"), F.count(F.lit(1)))).alias("Bounce_Rate")
     )
+    rates = rates.select(names[F.col("page")].alias("Event"), "Bounce_Rate")
     return series.fill_domain(rates, "Event", events, "Bounce_Rate", fill=0.0)

@@ -37,16 +37,17 @@ def total(orders: DataFrame) -> DataFrame:
 
 @requires(orders=ALL_COLUMNS)
 def filtered(orders: DataFrame, start: dt.date | None = None, end: dt.date | None = None,
-             whole_end_day: bool = False) -> DataFrame:
+             whole_end_day: bool = False, span: DataFrame | None = None) -> DataFrame:
     """Order lines created in the date range."""
-    return filter_by_date(orders, "Order_Created_At", start, end, whole_end_day).drop(ORDER)
+    kept = filter_by_date(orders, "Order_Created_At", start, end, whole_end_day, span)
+    return kept.drop(ORDER)
 
 
 @requires(orders=_TIMED)
 def weekday_weekend(orders: DataFrame) -> DataFrame:
     """Orders on weekdays and weekends; an order without a time is a weekday one."""
-    flag = cal.weekday_weekend(F.col("Order_Created_At"))
-    return profiles.weekday_weekend(order_times(orders), flag)
+    is_weekend = cal.is_weekend(F.col("Order_Created_At"))
+    return profiles.weekday_weekend(order_times(orders), is_weekend)
 
 
 @requires(orders=_TIMED)

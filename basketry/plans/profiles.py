@@ -17,12 +17,12 @@ from basketry.operators import series
 from basketry.operators.grouping import group_nonnull, value_counts
 
 
-def weekday_weekend(grain: DataFrame, flag: Column, name: str = "Count",
+def weekday_weekend(grain: DataFrame, is_weekend: Column, name: str = "Count",
                     measure: Column | None = None) -> DataFrame:
     """Two rows, ``Weekday`` and ``Weekend``: measure, percentage and its label."""
     shares = series.two_way_share(
         grain,
-        flag == cal.WEEKEND,
+        is_weekend,
         F.lit(1) if measure is None else measure,
         (cal.WEEKDAY, cal.WEEKEND),
         "Category",
