@@ -40,14 +40,19 @@ def build_session(
     app_name: str = "basketry",
     master: str | None = None,
     options: dict[str, str] | None = None,
+    input_bytes: int | None = None,
 ) -> SparkSession:
     """Create (or get) a session with the library's settings.
 
     ``master`` is left to the launcher unless given, as in local tests.
+    ``input_bytes``, the size of the tables, sizes the initial shuffle partitions.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    if input_bytes is not None:
+        partitions = shuffle_partitions(input_bytes)
+        builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     for key, value in {**SETTINGS, **(options or {})}.items():
         builder = builder.config(key, value)
     return apply_settings(builder.getOrCreate())

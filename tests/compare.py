@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 from decimal import Decimal
+from pathlib import Path
 
 import duckdb
 
@@ -16,7 +17,9 @@ TABLES = (
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     db = duckdb.connect()
     for table in TABLES:
-        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+        path = Path(sf_dir, f"{table}.parquet")
+        files = path / "*.parquet" if path.is_dir() else path
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{files}'")
     return db
 
 

@@ -106,3 +106,10 @@ def test_ratios(spark):
     assert values(spark, "double", [0.125, 0.375, 2.5], lambda c: ratios.rounded(c, 2)) == [
         0.12, 0.38, 2.5,
     ]
+
+
+def test_shuffle_partitions_follow_the_input():
+    from basketry.session import shuffle_partitions
+
+    assert shuffle_partitions(0) == 200
+    assert shuffle_partitions(100 * 1024**4) == 819_200
