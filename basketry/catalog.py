@@ -151,6 +151,7 @@ QUERIES: dict[str, Query] = {
     "prod_unsold": Query(
         products.unsold, table_options={"orders": {"shipped_before": SOLD_BEFORE}}
     ),
+    "prod_price_quartiles": Query(products.price_quartiles),
     "prod_price_histogram": Query(products.price_histogram),
     # revenue
     "rev_total": Query(revenue.total),

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from basketry.functions.ratios import exact_mean, rounded
 from basketry.functions.text import date_part, without_commas
-from basketry.operators.distribution import equal_width_histogram
+from basketry.operators.distribution import (
+    amount_counts, equal_width_histogram, exact_quantiles,
+)
 from basketry.operators.filters import drop_nulls, filter_by_date, replace_value
 from basketry.operators.grain import ORDER
 from basketry.operators.grouping import (
@@ -99,6 +101,13 @@ def unsold(products: DataFrame, orders: DataFrame) -> DataFrame:
     return shown.orderBy(F.asc_nulls_last("Product_Published_At"), *_PRODUCT)
 
 
+@requires(products=("Product_Published_At", "Variant_Price"))
+def price_quartiles(products: DataFrame) -> DataFrame:
+    """Lower and upper quartile of the published variants' prices."""
+    counts = amount_counts(published(products), "Variant_Price")
+    return exact_quantiles(counts, (0.25, 0.75)).toDF("lower_quartile", "upper_quartile")
+
+
 @requires(products=("Product_Published_At", "Variant_Price"))
 def price_histogram(products: DataFrame) -> DataFrame:
     """Published variants per price range."""

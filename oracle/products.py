@@ -34,6 +34,10 @@ SELECT DISTINCT CAST(Product_ID AS VARCHAR) AS Product_ID, Product_Title,
 FROM v_published p
 WHERE NOT EXISTS (SELECT 1 FROM v_orders o WHERE o.Product_ID = p.Product_ID
                   AND o.l_shipdate < TIMESTAMP '1995-02-01')""",
+    "prod_price_quartiles": """
+SELECT quantile_cont(CAST(Variant_Price AS DOUBLE), 0.25) AS lower_quartile,
+       quantile_cont(CAST(Variant_Price AS DOUBLE), 0.75) AS upper_quartile
+FROM v_published""",
     "prod_price_histogram": f"""
 WITH prices AS (SELECT CAST(Variant_Price AS DOUBLE) AS price FROM v_published),
 stats AS (

@@ -219,7 +219,7 @@ amounts_lists = st.lists(
 )
 
 
-@settings(max_examples=12, deadline=None,
+@settings(max_examples=8, deadline=None,
           suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(amounts_lists)
 def test_quantiles_match_numpy(spark, amounts):
@@ -232,7 +232,7 @@ def test_quantiles_match_numpy(spark, amounts):
         assert np.allclose(tuple(got), np.quantile(known, (0, 0.25, 0.5, 0.75, 1)), rtol=1e-12)
 
 
-@settings(max_examples=8, deadline=None,
+@settings(max_examples=5, deadline=None,
           suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(amounts_lists)
 def test_rows_before_is_a_running_count(spark, amounts):
