@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import (
-    DataType, LongType, StringType, StructType, TimestampNTZType,
-)
+from pyspark.sql.types import DataType, LongType, StringType, TimestampNTZType
 
 from basketry.functions.coerce import (
     missing_to_null, to_number, to_utc_timestamp, to_whole_number,
@@ -14,17 +12,30 @@ from basketry.operators.grain import ORDER
 from basketry.sources.schemas import SCHEMAS
 
 
-def _typed(column: str, kind: DataType) -> Column:
-    text = missing_to_null(F.col(f"`{column}`"))
+def _parsed(text: Column, kind: DataType) -> Column:
+    """Text as a value of the given type; null where it does not parse."""
     if isinstance(kind, StringType):
-        value = text
-    elif isinstance(kind, TimestampNTZType):
-        value = to_utc_timestamp(text)
-    elif isinstance(kind, LongType):
-        value = to_whole_number(text)
-    else:
-        value = to_number(text, kind.simpleString())
-    return value.alias(column)
+        return text
+    if isinstance(kind, TimestampNTZType):
+        return to_utc_timestamp(text)
+    if isinstance(kind, LongType):
+        return to_whole_number(text)
+    return to_number(text, kind.simpleString())
+
+
+def _typed(df: DataFrame, table: str, missing_markers: bool) -> list[Column]:
+    """All columns of a frame, those the table knows in the table's type."""
+    known = {field.name: field.dataType for field in SCHEMAS[table]}
+    columns = []
+    for field in df.schema:
+        kind = known.get(field.name, field.dataType)
+        value = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, StringType):
+            value = _parsed(missing_to_null(value) if missing_markers else value, kind)
+        elif kind != field.dataType:
+            value = value.try_cast(kind.simpleString())
+        columns.append(value.alias(field.name))
+    return columns
 
 
 def _file_position() -> Column:
@@ -60,25 +71,25 @@ def read_csv(
     quoted text, at the price of files that cannot be split.
     """
     _check_utc(spark)
-    schema: StructType = SCHEMAS[table]
-    known = {field.name: field.dataType for field in schema}
+    # Files whose header differs from the first one's are refused, not misread.
     raw = (
         spark.read.option("header", True)
+        .option("enforceSchema", False)
         .option("multiLine", multi_line)
         .option("escape", '"')
         .csv(path)
     )
-    columns = [_typed(c, known.get(c, StringType())) for c in raw.columns]
-    return raw.select(*columns, _file_position().alias(ORDER))
+    return raw.select(*_typed(raw, table, missing_markers=True), _file_position().alias(ORDER))
 
 
 def read_parquet(spark: SparkSession, table: str, path: str, order: str | None = None) -> DataFrame:
-    """Read Parquet files holding a canonical table.
+    """Read Parquet files as one of the canonical tables.
 
-    ``order`` names the column that orders rows; by default their position in
-    the files does.
+    Columns are matched by name and brought to the table's types, text included;
+    others are kept as they are. ``order`` names the column that orders rows; by
+    default their position in the files does.
     """
+    _check_utc(spark)
     raw = spark.read.parquet(path)
     position = _file_position() if order is None else F.col(order)
-    known = [c for c in SCHEMAS[table].names if c in raw.columns]
-    return raw.select(*known, position.alias(ORDER))
+    return raw.select(*_typed(raw, table, missing_markers=False), position.alias(ORDER))

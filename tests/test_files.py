@@ -84,9 +84,28 @@ def test_parquet_round_trip(spark, tmp_path, orders_csv, rows):
     assert ordered.select("row_order").distinct().count() == 3
 
 
+def test_parquet_types_are_brought_in_line(spark, tmp_path):
+    path = str(tmp_path / "events.parquet")
+    spark.sql("""
+        select 'x' as Customer_IP, 2.0D as session, timestamp'2024-01-06 23:30:00' as Event_Time,
+               '12.5' as Time_On_Page, 'NA' as Search_Term, 1 as Extra""").write.parquet(path)
+    [row] = read_parquet(spark, "journey", path).drop("row_order").collect()
+    assert tuple(row) == ("x", 2, dt.datetime(2024, 1, 6, 23, 30), 12.5, "NA", 1)
+
+
+def test_files_with_other_headers_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Order_ID,Customer_ID\n1,2\n")
+    (tmp_path / "b.csv").write_text("Customer_ID,Order_ID\n2,1\n")
+    with pytest.raises(Exception, match="header"):
+        read_csv(spark, "orders", str(tmp_path)).collect()
+
+
 def test_sessions_from_text(spark, tmp_path, one):
     path = tmp_path / "journey.csv"
-    path.write_text("Customer_IP,session,Time_On_Page,Event\n1.1.1.1,1,5,Home\n1.1.1.1,2.0,x,Home\n2.2.2.2,?,40,Home\n")
+    path.write_text(
+        "Customer_IP,session,Time_On_Page,Event\n"
+        "1.1.1.1,1,5,Home\n1.1.1.1,2.0,x,Home\n2.2.2.2,?,40,Home\n"
+    )
     df = read_csv(spark, "journey", str(path))
     assert one(journey.repeat_viewers(df)) == 1
     assert one(journey.bounce_rate_customer(df)) == 50.0
