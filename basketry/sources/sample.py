@@ -110,11 +110,11 @@ def orders(
     without lines).
 
     With order-level columns only, lines are attached with a left join, which
-    Catalyst drops when the query is insensitive to repeated rows. Otherwise
-    lines are joined inner and the orders without lines are added: AQE can split
-    a hot order on the line side of an inner join, but not on the right side of
-    a left join. Every line belongs to an order (foreign key), so line-level
-    columns alone need no join to orders.
+    Catalyst drops when the query is insensitive to repeated rows. Otherwise an
+    empty line is added for each order without lines and order-level columns are
+    joined inner: AQE can split a hot order on the line side of an inner join,
+    but not on the right side of a left join. Every line belongs to an order
+    (foreign key), so line-level columns alone need no join to orders.
     """
     wanted = ORDER_COLUMNS + (ORDER,) if columns is None else tuple(columns)
     facts = _order_facts()
@@ -122,11 +122,13 @@ def orders(
     line_level = [c for c in wanted if c in _LINE_FACTS]
 
     heads = _read(spark, sf_dir, "orders")
+    keys = heads.select(F.col("o_orderkey").alias("l_orderkey"))
     if "Customer_Name" in wanted:
         names = _read(spark, sf_dir, "customer").select("c_custkey", "c_name")
         heads = heads.join(names, F.col("o_custkey") == F.col("c_custkey"), "left")
-    key = F.col("o_orderkey").alias("head_key")
-    heads = heads.select(key, *[facts[c].alias(c) for c in order_level])
+    heads = heads.select(
+        F.col("o_orderkey").alias("head_key"), *[facts[c].alias(c) for c in order_level]
+    )
 
     lines = _read(spark, sf_dir, "lineitem")
     if shipped_before is not None:
@@ -137,23 +139,16 @@ def orders(
     if not line_level and shipped_before is None:
         return heads.join(lines.select("l_orderkey"), same_order, "left").select(*wanted)
 
-    keys = lines.select("l_orderkey").distinct()
+    without_lines = keys.join(lines.select("l_orderkey").distinct(), "l_orderkey", "left_anti")
     if "Product_Name" in wanted:
         parts = _read(spark, sf_dir, "part").select("p_partkey", "p_name")
         lines = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
-    with_lines = lines.select("l_orderkey", *[_LINE_FACTS[c]().alias(c) for c in line_level])
+    lines = lines.select("l_orderkey", *[_LINE_FACTS[c]().alias(c) for c in line_level])
+    if shipped_before is None:
+        lines = lines.unionByName(without_lines, allowMissingColumns=True)
     if order_level:
-        with_lines = with_lines.join(heads, same_order)
-    with_lines = with_lines.select(*wanted)
-    if shipped_before is not None:
-        return with_lines
-    without_lines = heads.join(keys, same_order, "left_anti").select(
-        *[
-            F.lit(None).cast(with_lines.schema[c].dataType).alias(c) if c in line_level else c
-            for c in wanted
-        ]
-    )
-    return with_lines.unionByName(without_lines)
+        lines = lines.join(heads, same_order)
+    return lines.select(*wanted)
 
 
 def abandoned(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None) -> DataFrame:
