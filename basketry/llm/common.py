@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -17,12 +19,24 @@ SETTINGS = {
 }
 
 _own_folder = None
+_shipped: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply :data:`SETTINGS`; the operators need none of them for right results."""
+    """Apply :data:`SETTINGS` and send this package to the Python workers.
+
+    The operators need none of the settings for right results. The package is sent
+    once per application, unless it was installed as an archive (``--py-files``).
+    """
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    context, package = spark.sparkContext, Path(__file__).parent.parent
+    if context.applicationId not in _shipped and package.is_dir():
+        folder = tempfile.TemporaryDirectory(prefix="basketry-code-")
+        code = Path(folder.name, "code", package.name)
+        shutil.copytree(package, code, ignore=shutil.ignore_patterns("__pycache__"))
+        context.addPyFile(shutil.make_archive(f"{folder.name}/{package.name}", "zip", code.parent))
+        _shipped[context.applicationId] = folder  # the driver serves the file from there
     return spark
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketry.llm import bpe, packing
+from basketry.llm import bpe, line_dedup, packing, warc
+from basketry.llm import sql
 from basketry.llm.common import prepare
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -50,9 +51,27 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(spark, table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back."""
+    archives = warc.write_archives(table(spark, sf_dir, "pages"), "page_id", "url", "html", min_bytes=0)
+    return warc.read_archives(archives).select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that others hold."""
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), "doc_id", "text", min_chars=10)
+    return done.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op4_packing": op4_packing,
+    "op6_warc": op6_warc,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_line_dedup": sql.LINE_DEDUP,
+}
