@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketry.llm import bpe, line_dedup, packing, warc
+from basketry.llm import bpe, line_dedup, packing, url_filter, warc
 from basketry.llm import sql
 from basketry.llm.common import prepare
 
@@ -59,6 +59,24 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The rules of the query.
+URL_RULES = [
+    url_filter.Rule("com", "/", True),
+    url_filter.Rule("example.com", "/en/", False),
+    url_filter.Rule("www.example.com", "/en/", True),
+    url_filter.Rule("net", "/es/", False),
+    url_filter.Rule("net", "/fr/", False),
+]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's address judged by rules, or else by the language models."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = url_filter.judge(pages, "page_id", "url", URL_RULES)
+    verdict = F.when(F.col("allowed"), "allow").otherwise("block").alias("verdict")
+    return judged.select("row.page_id", "host", "path", "rule", verdict, "score")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that others hold."""
     done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), "doc_id", "text", min_chars=10)
@@ -69,6 +87,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op4_packing": op4_packing,
     "op6_warc": op6_warc,
+    "op7_url_filter": op7_url_filter,
     "op10_line_dedup": op10_line_dedup,
 }
 
