@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketry.llm import bpe, line_dedup, packing, url_filter, warc
+from basketry.llm import bpe, line_dedup, near_dedup, packing, url_filter, warc
 from basketry.llm import sql
 from basketry.llm.common import prepare
 
@@ -77,6 +77,13 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.page_id", "host", "path", "rule", verdict, "score")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its links and class among those of its label."""
+    vectors = table(spark, sf_dir, "embeddings")
+    done = near_dedup.near_duplicates(vectors, "vec_id", "embedding", "label", limit=0.98)
+    return done.select("row.vec_id", "n_links", "component_id", "kept")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that others hold."""
     done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), "doc_id", "text", min_chars=10)
@@ -88,6 +95,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op6_warc": op6_warc,
     "op7_url_filter": op7_url_filter,
+    "op9_near_dedup": op9_near_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
 
