@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketry.llm import bpe, line_dedup, near_dedup, packing, url_filter, warc
+from basketry.llm import bpe, line_dedup, near_dedup, packing, topk, url_filter, warc
 from basketry.llm import sql
 from basketry.llm.common import prepare
 
@@ -77,6 +77,12 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.page_id", "host", "path", "rule", verdict, "score")
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best matches of every 50th vector among all."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, "vec_id", "embedding", F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector with its links and class among those of its label."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -95,10 +101,13 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op6_warc": op6_warc,
     "op7_url_filter": op7_url_filter,
+    "op8_topk": op8_topk,
     "op9_near_dedup": op9_near_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_topk": sql.TOP_K,
+    "op9_near_dedup": sql.NEAR_DEDUP,
     "op10_line_dedup": sql.LINE_DEDUP,
 }

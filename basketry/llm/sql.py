@@ -22,3 +22,43 @@ SELECT doc_id, count(*) AS n_lines,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+TOP_K = r"""
+WITH whole AS (
+    SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), pair AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+           CAST(list_sum([a * c.v[i] FOR a, i IN q.v]) AS BIGINT) AS score
+    FROM whole q JOIN whole c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+    WHERE q.vec_id % 50 = 0
+), ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+    FROM pair
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+NEAR_DEDUP = r"""
+WITH RECURSIVE usable AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+      AND list_sum([x * x FOR x IN CAST(embedding AS DOUBLE[])]) > 0
+), link AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b USING (label)
+    WHERE a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98
+), reach AS (
+    SELECT vec_id AS node, vec_id AS low FROM embeddings
+    UNION
+    SELECT link.b, reach.low FROM reach JOIN link ON link.a = reach.node WHERE reach.low < link.b
+), least AS (
+    SELECT node, min(low) AS component_id FROM reach GROUP BY node
+), counted AS (
+    SELECT a, count(*) AS n FROM link GROUP BY a
+)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least ON node = vec_id LEFT JOIN counted ON a = vec_id
+"""
