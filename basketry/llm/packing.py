@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from basketry.llm.pieces import PieceEncoder
 
@@ -35,10 +36,19 @@ class _Pieces(PieceEncoder):
     def __init__(self, tokenizer_file: str, pattern: str):
         super().__init__(pattern)
         self.tokenizer = Tokenizer.from_str(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True  # in a text they are ordinary text
+        # What the byte-level pre-tokenizer makes of each byte, without its own splitting.
+        alphabet = ByteLevel(add_prefix_space=False, use_regex=False)
+        plain = [byte for byte in range(128)]
+        shown = {chr(byte): alphabet.pre_tokenize_str(chr(byte))[0][0] for byte in plain}
+        for code in range(128, 2048):  # the second byte of two-byte characters gives the rest
+            pair = alphabet.pre_tokenize_str(chr(code))[0][0]
+            shown |= dict(zip(chr(code).encode().decode("latin-1"), pair))
+        self.shown = str.maketrans(shown)
 
     def encode_match(self, match: str) -> list[int]:
-        return self.tokenizer.encode(match, add_special_tokens=False).ids
+        """The tokenizer's model on one match; special tokens in a text are ordinary text."""
+        shown = match.encode().decode("latin-1").translate(self.shown)
+        return [token.id for token in self.tokenizer.model.tokenize(shown)]
 
 
 @lru_cache(maxsize=2)

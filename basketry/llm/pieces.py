@@ -7,37 +7,45 @@ from struct import pack
 import regex
 
 #: Entries per cache and worker; a full cache is emptied.
-CACHE_SIZE = 400_000
+CACHE_SIZE = 600_000
+#: Longer pieces of several matches hardly ever occur twice.
+SHORT = 10
 
 
 class PieceEncoder:
     """Encodes each match of a pattern on its own; subclasses give the ids of a match.
 
-    The pattern must not match a non-space followed by a space.
+    The pattern must not match a non-space followed by a space. Ids of matches are
+    cached by what follows the space they start with (``later``) or by themselves.
     """
 
     def __init__(self, pattern: str):
         self.split = regex.compile(pattern)
-        self.matches: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
     def encode_match(self, match: str) -> list[int]:
         raise NotImplementedError
 
-    def lookup_match(self, match: str) -> bytes:
-        found = self.matches.get(match)
-        if found is None:
-            if len(self.matches) >= CACHE_SIZE:
-                self.matches.clear()
-            ids = self.encode_match(match)
-            found = pack(f"<{len(ids)}i", *ids)
-            if len(match) < 64:
-                self.matches[match] = found
-        return found
+    def remember(self, cache: dict[str, bytes], key: str, ids: bytes) -> bytes:
+        if len(cache) >= CACHE_SIZE:
+            cache.clear()
+        if len(key) < 64:
+            cache[key] = ids
+        return ids
 
-    def encode_piece(self, text: str) -> bytes:
-        return b"".join(map(self.lookup_match, self.split.findall(text)))
+    def encode_matches(self, matches: list[str]) -> bytes:
+        parts = []
+        for match in matches:
+            cache, key = (self.later, match[1:]) if match[0] == " " else (self.first, match)
+            found = cache.get(key) if key else None
+            if found is None:
+                ids = self.encode_match(match)
+                found = pack(f"<{len(ids)}i", *ids)
+                if key:  # a lone space is no lead of an empty piece
+                    self.remember(cache, key, found)
+            parts.append(found)
+        return b"".join(parts)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit numbers.
@@ -50,12 +58,11 @@ class PieceEncoder:
             ids = cache.get(piece)
             if ids is None:
                 if not piece or piece[-1].isspace():  # several spaces: not a place to cut
-                    return self.encode_piece(text)
-                if len(cache) >= CACHE_SIZE:
-                    cache.clear()
-                ids = self.encode_piece(lead + piece)
-                if len(piece) < 64:
-                    cache[piece] = ids
+                    return self.encode_matches(self.split.findall(text))
+                matches = self.split.findall(lead + piece)
+                ids = self.encode_matches(matches)
+                if len(matches) > 1 and len(piece) <= SHORT:
+                    self.remember(cache, piece, ids)
             parts.append(ids)
             cache, lead = self.later, " "
         return b"".join(parts)
