@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketry.llm import bpe, line_dedup, near_dedup, packing, topk, url_filter, warc
+from basketry.llm import bpe, jaccard, line_dedup, near_dedup, packing, topk, url_filter, warc
 from basketry.llm import sql
 from basketry.llm.common import prepare
 
@@ -31,6 +31,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the class its near duplicates make."""
+    docs = table(spark, sf_dir, "documents")
+    done = jaccard.similar_documents(docs, "doc_id", "text", words=5, percent=75)
+    return done.select(F.col("doc").alias("doc_id"), "n_shingles", "component_id")
+
+
 def packed(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Pieces of tokenised documents in sequences of 2048, with the checksum of their ids."""
     ids = packing.tokenize(spark, F.col("text"), TOKENIZER, public_tokenizers.PATTERN, end_id=1)
@@ -98,6 +105,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_jaccard": op2_jaccard,
     "op4_packing": op4_packing,
     "op6_warc": op6_warc,
     "op7_url_filter": op7_url_filter,
