@@ -14,8 +14,8 @@ accepted URLs below and of rejected URLs above it are least in sum, over a
 histogram of fixed width. A URL is allowed if its score reaches the threshold.
 
 Everything is DataFrame expressions. Characters are reduced to distinct windows
-(a character with its context) per URL, and the models are joined to the distinct
-windows of all URLs, so no text is sent around and common windows are counted once.
+(a character with its context), the models are joined to the distinct windows of all
+URLs, and URLs go by number, so that only numbers and windows are sent around.
 
 A null URL, or one without ``://``, has an empty host and path and is scored like
 others (null as an empty text). Without accepted or rejected URLs all scores are 0
@@ -68,8 +68,8 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     return found
 
 
-def _model(windows: DataFrame, order: int) -> DataFrame:
-    """(gram, ratio): log ratio of the smoothed probabilities, for every gram either model saw.
+def _counts(windows: DataFrame, order: int) -> DataFrame:
+    """A row for each gram either model saw: its counts and those of its context.
 
     ``windows`` has the distinct windows of decided URLs with how often each occurs in
     accepted (``yes``) and rejected (``no``) ones. A gram is a character behind a context.
@@ -87,34 +87,36 @@ def _model(windows: DataFrame, order: int) -> DataFrame:
         F.count_if(F.col("yes") > 0).alias("kinds_yes"),
         F.count_if(F.col("no") > 0).alias("kinds_no"),
     )
-    rows = grams.join(contexts, ["size", "context"])
+    return grams.join(contexts, ["size", "context"]).drop("context")
+
+
+def _ratios(windows: DataFrame, counts: DataFrame, order: int) -> DataFrame:
+    """(window, ratio): log ratio of the smoothed probabilities of a window's character.
+
+    A window's grams of all sizes either model saw are gathered (``order`` at most) and
+    folded from the shortest to the longest, each smoothed with the one before.
+    """
     # Below the shortest context every known character is equally likely.
-    alphabet = F.lit(1.0) / F.greatest(F.col("kinds"), F.lit(1))
-    known = grams.where("size = 1").agg(F.count("*").alias("kinds"))
-    base = known.select(alphabet.alias("p"))
-    lower, parts = None, []
-    for size in range(1, order + 1):
-        level = rows.where(F.col("size") == size)
-        if lower is None:
-            level = level.withColumn("low_yes", base.scalar()).withColumn("low_no", base.scalar())
-        else:
-            shorter = lower.select(
-                F.col("gram").alias("shorter"), F.col("p_yes").alias("low_yes"), F.col("p_no").alias("low_no")
-            )
-            level = level.withColumn("shorter", F.expr("substr(gram, 2)")).join(shorter, "shorter")
-
-        def smoothed(kind: str) -> Column:
-            count, total, kinds, low = (F.col(f"{n}{kind}") for n in ("", "all_", "kinds_", "low_"))
-            return F.when(total + kinds > 0, (count + kinds * low) / (total + kinds)).otherwise(low)
-
-        lower = keep(
-            level.select("gram", smoothed("yes").alias("p_yes"), smoothed("no").alias("p_no")), "model"
-        )
-        parts.append(lower)
-    model = parts[0]
-    for part in parts[1:]:
-        model = model.unionAll(part)
-    return model.select("gram", F.ln(F.col("p_yes") / F.col("p_no")).alias("ratio"))
+    base = counts.where("size = 1").agg((F.lit(1.0) / F.greatest(F.count("*"), F.lit(1))).alias("p")).scalar()
+    sizes = F.sequence(F.lit(1), F.lit(order))
+    gram = F.struct("size", "yes", "no", "all_yes", "all_no", "kinds_yes", "kinds_no")
+    gathered = (
+        windows.select("window", F.explode(sizes).alias("at"))
+        .select("window", F.expr("right(window, at)").alias("gram"))
+        .join(counts, "gram")
+        .groupBy("window")
+        .agg(F.array_sort(F.collect_list(gram)).alias("grams"))
+    )
+
+    def probability(kind: str) -> Column:
+        def smoothed(low: Column, g: Column) -> Column:
+            count, total, kinds = g[kind], g[f"all_{kind}"], g[f"kinds_{kind}"]
+            return F.when(total > 0, (count + kinds * low) / (total + kinds)).otherwise(low)
+
+        return F.aggregate("grams", F.col("base"), smoothed)
+
+    gathered = gathered.withColumn("base", base)
+    return gathered.select("window", F.ln(probability("yes") / probability("no")).alias("ratio"))
 
 
 def judge(
@@ -131,50 +133,26 @@ def judge(
     rows = rows.withColumns({"host": host_of(F.col("given")), "path": path_of(F.col("given"))})
     rows = rows.withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
     # Equal URLs have equal scores; a common one is taken apart once.
-    urls = (
-        rows.groupBy("url")
-        .agg(F.first("found.allow").alias("allow"), F.count("*").alias("rows"))
-        .withColumn("padded", F.concat(F.lit(_START * (order - 1)), "url", F.lit(_END)))
-        .withColumn("length", F.length("url") + 1)
-    )
-    urls = keep(urls, "urls")
+    urls = rows.groupBy("url").agg(F.first("found.allow").alias("allow"), F.count("*").alias("rows"))
+    urls = keep(urls.withColumn("number", F.monotonically_increasing_id()), "urls")
+    padded = F.concat(F.lit(_START * (order - 1)), "url", F.lit(_END))
+    starts = F.sequence(F.lit(1), F.length("url") + 1)
     windows = urls.select(
-        "url",
+        "number",
         "allow",
         "rows",
-        F.explode(
-            F.transform(F.sequence(F.lit(1), F.col("length")), lambda i: F.substring("padded", i, order))
-        ).alias("window"),
+        F.explode(F.transform(starts, lambda i: F.substring(padded, i, order))).alias("window"),
     )
-    windows = keep(
-        windows.groupBy("url", "window").agg(
-            F.count("*").alias("times"), F.first("allow").alias("allow"), F.first("rows").alias("rows")
-        ),
-        "windows",
-    )
-    times = F.col("times") * F.col("rows")
     counted = windows.groupBy("window").agg(
-        F.coalesce(F.sum(F.when(F.col("allow"), times)), F.lit(0)).alias("yes"),
-        F.coalesce(F.sum(F.when(~F.col("allow"), times)), F.lit(0)).alias("no"),
+        F.coalesce(F.sum(F.when(F.col("allow"), F.col("rows"))), F.lit(0)).alias("yes"),
+        F.coalesce(F.sum(F.when(~F.col("allow"), F.col("rows"))), F.lit(0)).alias("no"),
     )
     counted = keep(counted, "counted")
-    model = _model(counted.where("yes + no > 0"), order)
-    sizes = F.sequence(F.lit(1), F.lit(order))
-    judged = (
-        counted.select("window", F.explode(sizes).alias("size"))
-        .withColumn("gram", F.expr("right(window, size)"))
-        .join(model, "gram")
-        .groupBy("window")
-        .agg(F.max_by("ratio", "size").alias("ratio"))
-    )
-    scores = (
-        windows.join(judged, "window", "left")
-        .groupBy("url")
-        .agg(F.sum(F.coalesce("ratio", F.lit(0.0)) * F.col("times")).alias("sum"))
-    )
-    scored = urls.join(scores, "url").select(
-        "url", "allow", "rows", (F.col("sum") / F.col("length")).alias("score")
-    )
+    counts = keep(_counts(counted.where("yes + no > 0"), order), "gram-counts")
+    judged = _ratios(counted, counts, order)
+    scores = windows.select("number", "window").join(judged, "window").groupBy("number").agg(F.sum("ratio").alias("sum"))
+    score = F.coalesce("sum", F.lit(0.0)) / (F.length("url") + 1)
+    scored = urls.join(scores, "number", "left").select("url", "allow", "rows", score.alias("score"))
     scored = keep(scored, "scores")
     limit = threshold(scored, bins)
     done = rows.join(scored.select("url", "score"), "url")
