@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from basketry.llm import bpe, jaccard, line_dedup, near_dedup, packing, topk, url_filter, warc
+from basketry.llm import bpe, jaccard, line_dedup, near_dedup, packing, topk, toxicity, url_filter, warc
 from basketry.llm import sql
 from basketry.llm.common import prepare
 
@@ -58,6 +58,27 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(spark, table(spark, sf_dir, "documents"))
 
 
+def fold() -> Column:
+    """Fold of a row; rows of fold 0 are held out from learning."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """Learned from the labelled rows of all folds but the held-out one."""
+    labels = table(spark, sf_dir, "labels").where(fold() != 0)
+    return toxicity.learn(docs, labels, "doc_id", "text", "toxic")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability of being toxic."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity_model(spark, docs, sf_dir)
+    scored = docs.select(
+        "doc_id", (fold() == 0).alias("held_out"), toxicity.score(F.col("text"), model).alias("score")
+    )
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back."""
     archives = warc.write_archives(table(spark, sf_dir, "pages"), "page_id", "url", "html", min_bytes=0)
@@ -107,6 +128,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_jaccard": op2_jaccard,
     "op4_packing": op4_packing,
+    "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
     "op7_url_filter": op7_url_filter,
     "op8_topk": op8_topk,
