@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from basketry.llm import bpe, jaccard, line_dedup, near_dedup, packing, topk, toxicity, url_filter, warc
+from basketry.llm import bpe, jaccard, line_dedup, near_dedup, packing, pii, topk, toxicity, url_filter, warc
 from basketry.llm import sql
 from basketry.llm.common import prepare
 
@@ -38,6 +38,24 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("doc").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data: base patterns, and what the field adds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = pii.learn(docs, "doc_id", "text")
+    found = docs.select("doc_id", pii.find(F.col("text"), model).alias("found")).select("doc_id", "found.*")
+
+    def joined(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in pii.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans")
+    )
+
+
 def packed(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Pieces of tokenised documents in sequences of 2048, with the checksum of their ids."""
     ids = packing.tokenize(spark, F.col("text"), TOKENIZER, public_tokenizers.PATTERN, end_id=1)
@@ -127,6 +145,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_jaccard": op2_jaccard,
+    "op3_pii": op3_pii,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,

@@ -1,19 +1,65 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences, stage by stage.
+
+Each stage takes what its predecessor kept. Rows without an id or text pass through
+(an empty text is packed as its end token); an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from basketry.llm import jaccard, line_dedup, pii
+from basketry.llm import toxicity as toxic_language
+from basketry.llm.common import keep, prepare
+from basketry.llm.queries import packed, table, toxicity_model
+
+
+def _with_text(docs: DataFrame, text: Column, columns: list[str]) -> DataFrame:
+    """The given columns with another text, and its length where one is kept."""
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return docs.select(*(new.get(c, F.col(f"row.{c}")).alias(c) for c in columns))
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are rather toxic than not go."""
+    model = toxicity_model(prepare(spark), docs, sf_dir)
+    return docs.where(toxic_language.score(F.col("text"), model) < 0.5)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document holds go; documents stay, if need be empty."""
+    done = line_dedup.dedup_lines(docs, "doc_id", "text", min_chars=10)
+    kept = F.when(F.col("row.text").isNotNull(), F.col("kept"))
+    return _with_text(done, kept, docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar documents the one with the least id stays."""
+    found = jaccard.similar_documents(docs, "doc_id", "text", words=5, percent=75)
+    extra = found.where("component_id <> doc").select("doc").distinct()
+    return docs.join(extra, docs["doc_id"] == extra["doc"], "left_anti")
+
 
-from basketry.llm.common import keep
-from basketry.llm.queries import packed, table
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by the name of its kind."""
+    model = pii.learn(docs, "doc_id", "text")
+    rows = docs.select(F.struct("*").alias("row"), pii.find(F.col("text"), model).alias("found"))
+    masked = rows.select("row", pii.mask(F.col("row.text"), F.col("found.spans")).alias("masked"))
+    return _with_text(masked, F.col("masked"), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokenise, cut and pack what is left."""
-    return packed(spark, docs)
+    """What is left is tokenised, cut and packed."""
+    return packed(prepare(spark), docs)
 
 
-STAGES = [("packing", packing)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("line_dedup", lines),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("packing", packing),
+]
 
 #: Learned scores, components and packing are beyond SQL; see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
