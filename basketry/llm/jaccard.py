@@ -5,13 +5,14 @@ often they occur (counts of hash buckets, over all documents; a table of fixed s
 and then by hash, rarest first. Two similar sets share a shingle among their first
 ones (the prefix), and a shorter prefix will do for the smaller set. Documents with
 identical prefixes and sizes are one group; only groups are joined, and only where
-sizes and positions allow enough overlap. Group pairs are then expanded to pairs of
+sizes, positions and the number of shingles prefixes share allow enough overlap. Group pairs are then expanded to pairs of
 distinct sets, and these are compared in full. Equal sets are one class all along.
 
 The result needs the components of the links, not each link. So the join runs twice.
-First every group is paired with the one before it among those that share a prefix
-shingle, the one with which it shares most of them: this connects most of a large
-group of near copies with one comparison each. Then all pairs that prefixes, sizes and
+First every group is paired with two others with which it shares most prefix shingles:
+one of those before it, and one of the most central (with fewest shingles of their own,
+like the origin of many copies): this connects most of a large group of near copies
+with two comparisons each. Then all pairs that prefixes, sizes and
 positions leave are compared, except those within a component. A shingle whose groups
 all belong to one component drops out before the join, and of a shingle's largest
 component only pairs with others are formed. So nothing that could connect two
@@ -163,6 +164,10 @@ def _index_column(size: str, percent: int) -> Column:
     return F.expr(f"{size} - ({2 * percent} * {size} + {99 + percent}) div {100 + percent} + 1")
 
 
+def _prefix_column(size: str, percent: int) -> Column:
+    return F.expr(f"{size} - ({percent} * {size} + 99) div 100 + 1")
+
+
 def _fits(a: str, b: str, percent: int) -> Column:
     """Whether entries of a set ``a`` and a set ``b`` that is no larger leave room for enough overlap."""
     need = f"(({percent} * ({a}size + {b}size) + {99 + percent}) div {100 + percent})"
@@ -228,9 +233,8 @@ def _linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
         "doc", "text", F.shiftright(bit, 6).alias("at"), F.expr("pmod(xxhash64(doc), 64)").alias("bit")
     )
     sets = hashed.mapInArrow(make, "doc long, high long, values binary")
-    # Rows that repeat a document give its set once.
-    sets = sets.join(ends, ["doc", "high"], "left_semi").groupBy("doc", "high").agg(F.first("values").alias("values"))
-    sets = keep(sets, "sets")
+    # Rows that repeat a document give its set once. Both joins read the same shuffle.
+    sets = sets.repartition("doc", "high").groupBy("doc", "high").agg(F.first("values").alias("values"))
     both = pairs
     for side in "ab":
         own = sets.select(
@@ -250,10 +254,25 @@ def _linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
     links = both.select("a", "b", "a_values", "b_values").mapInArrow(compare, "a long, b long")
     links = keep(links, "links")
     forget(pairs)
-    forget(sets)
     return links
 
 
+def _promising(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """(x_grp, y_grp) of the pairs whose prefixes have enough shingles in common.
+
+    Of the sets' shingles up to the end of the prefix that ends first, all common ones
+    are seen; behind it there can be no more than that set has left.
+    """
+    left = F.expr(
+        f"greatest(({percent} * x_size + 99) div 100, ({percent} * y_size + 99) div 100) - 1"
+    )
+    need = F.expr(f"({percent} * (x_size + y_size) + {99 + percent}) div {100 + percent}")
+    x = shared.select(F.col("grp").alias("x_grp"), "token", F.col("size").alias("x_size"))
+    y = shared.select(F.col("grp").alias("y_grp"), "token", F.col("size").alias("y_size"))
+    common = pairs.join(x, "x_grp").join(y, ["y_grp", "token"]).groupBy("x_grp", "y_grp", "x_size", "y_size").count()
+    return common.where(F.col("count") + left >= need).select("x_grp", "y_grp")
+
+
 def similar_documents(
     df: DataFrame, id_column: str, text_column: str, words: int = 5, percent: int = 75
 ) -> DataFrame:
@@ -282,17 +301,26 @@ def similar_documents(
     )
     shared = keep(_shared(_entries(chosen.select("grp", "size", "prefix")), percent), "entries")
 
-    # First round: each group with one before it, and each set of a group with its first.
-    ahead = (
-        shared.where("ahead is not null")
-        .groupBy("grp", "ahead")
-        .count()
-        .groupBy("grp")
-        .agg(F.max_by("ahead", F.struct("count", "ahead")).alias("ahead"))
-    )
+    # First round: each group with the one before it and the most central one among
+    # those it shares shingles with, and each set of a group with its first. Central is
+    # a group that has few shingles to itself, as the origin of copies has.
+    alone = shared.groupBy("grp").agg(F.count("*").alias("common"), F.first("size").alias("size"))
+    alone = alone.select("grp", (_prefix_column("size", percent) - F.col("common")).alias("alone"))
+    entry = F.when(F.col("pos") < _index_column("size", percent), F.struct("alone", "grp"))
+    central = shared.join(alone, "grp").groupBy("token").agg(F.min(entry).alias("hub"))
+    hubs = shared.join(central, "token").where("hub.grp <> grp").select("grp", F.col("hub.grp").alias("with"))
+    ahead = shared.where("ahead is not null").select("grp", F.col("ahead").alias("with"))
+
+    def most_shared(votes: DataFrame) -> DataFrame:
+        counted = votes.groupBy("grp", "with").count()
+        best = counted.groupBy("grp").agg(F.max_by("with", F.struct("count", "with")).alias("with"))
+        return best.select(F.greatest("grp", "with").alias("x_grp"), F.least("grp", "with").alias("y_grp"))
+
+    near = _promising(most_shared(hubs).unionAll(most_shared(ahead)).distinct(), shared, percent)
     first = lead.select("grp", F.col("doc").alias("a"), F.col("high").alias("a_high"))
-    other = lead.select(F.col("grp").alias("ahead"), F.col("doc").alias("b"), F.col("high").alias("b_high"))
-    near = ahead.join(first, "grp").join(other, "ahead").select("a", "a_high", "b", "b_high")
+    other = lead.select(F.col("grp").alias("y_grp"), F.col("doc").alias("b"), F.col("high").alias("b_high"))
+    near = near.join(first.withColumnRenamed("grp", "x_grp"), "x_grp").join(other, "y_grp")
+    near = near.select("a", "a_high", "b", "b_high")
     inside = classes.join(first, "grp").where("cls <> a or high <> a_high")
     inside = inside.select("a", "a_high", F.col("cls").alias("b"), F.col("high").alias("b_high"))
     links = _linked(docs, near.unionAll(inside), words, percent)
@@ -326,6 +354,9 @@ def similar_documents(
         .select("x_grp", "x_comp", "y_grp", "y_comp")
         .distinct()
     )
+    crossing = keep(crossing, "crossing")
+    enough = _promising(crossing.select("x_grp", "y_grp").distinct(), shared, percent)
+    crossing = crossing.join(enough, ["x_grp", "y_grp"]).select("x_grp", "x_comp", "y_grp", "y_comp")
     within = parts.select(F.col("grp").alias("x_grp"), F.col("comp").alias("x_comp")).join(
         parts.select(F.col("grp").alias("y_grp"), F.col("comp").alias("y_comp")),
         F.expr("x_grp = y_grp and x_comp < y_comp"),
