@@ -4,8 +4,6 @@ import random
 import re
 from itertools import combinations
 
-import pytest
-
 from basketry.llm import jaccard, queries
 
 UPPER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
@@ -96,12 +94,12 @@ def test_repeated_rows_and_null_ids(documents):
     assert {r.component_id for r in jaccard.similar_documents(lost, "doc_id", "text").collect()} == {None}
 
 
-@pytest.mark.parametrize("size", range(1, 400))
-def test_prefixes_are_long_enough(size):
-    for other in range(max(1, -(-75 * size // 100)), size + 1):  # no larger than size
-        need = -(-75 * (size + other) // 175)
-        assert size - need + 1 <= jaccard._probe_length(size, 75)
-        assert other - need + 1 <= jaccard._index_length(other, 75)
+def test_prefixes_are_long_enough():
+    for size in range(1, 400):
+        for other in range(max(1, -(-75 * size // 100)), size + 1):  # no larger than size
+            need = -(-75 * (size + other) // 175)
+            assert size - need + 1 <= jaccard._probe_length(size, 75)
+            assert other - need + 1 <= jaccard._index_length(other, 75)
 
 
 def test_query(spark, sample_dir):

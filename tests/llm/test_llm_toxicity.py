@@ -33,6 +33,7 @@ def test_automaton_finds_what_edit_distance_finds():
         return min(found, key=lambda f: (f[1], f[0]), default=None)
 
     words = ["".join(draw.choice("abcde") for _ in range(draw.randint(0, 11))) for _ in range(3000)]
+    words += [t.strip("*")[:i] + draw.choice("abx") + t.strip("*")[i + 1 :] for t in terms for i in range(len(t))]
     words += ["cabbagecab", "cabagecb", "badbc", "abcdef", "dabble", "abaddcxyz", "abadcxyz", ""]
     hits = [brute(w) for w in words]
     assert [automaton.match(w) for w in words] == hits
