@@ -18,13 +18,13 @@ Lone surrogates cannot occur in Spark strings.
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession, functions as F
 
+from basketry.llm.common import in_worker
 from basketry.llm.pieces import CACHE_SIZE, PieceEncoder
 
 class Encoder(PieceEncoder):
@@ -100,9 +100,8 @@ class Encoder(PieceEncoder):
                 at -= len(self.token[rank])
 
 
-@lru_cache(maxsize=4)
 def _encoder(rank_file: bytes, pattern: str) -> Encoder:
-    return Encoder(rank_file, pattern)
+    return in_worker((rank_file, pattern), lambda: Encoder(rank_file, pattern))
 
 
 class Vocabulary:

@@ -80,6 +80,21 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_in_worker: dict = {}
+
+
+def in_worker(key, make):
+    """What ``make`` gave for a key, kept by a Python worker from batch to batch.
+
+    A worker serves many tasks and keeps the state of one operator at a time, so the
+    memory of successive operators does not add up.
+    """
+    if key not in _in_worker:
+        _in_worker.clear()
+        _in_worker[key] = make()
+    return _in_worker[key]
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of the graph with edges (a, b): the least node reachable.
 

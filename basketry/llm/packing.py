@@ -19,7 +19,6 @@ null ids stay null. An empty table gives no pieces.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +28,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
+from basketry.llm.common import in_worker
 from basketry.llm.pieces import PieceEncoder
 
 
@@ -51,9 +51,8 @@ class _Pieces(PieceEncoder):
         return [token.id for token in self.tokenizer.model.tokenize(shown)]
 
 
-@lru_cache(maxsize=2)
 def _pieces(tokenizer_file: str, pattern: str) -> _Pieces:
-    return _Pieces(tokenizer_file, pattern)
+    return in_worker((tokenizer_file, pattern), lambda: _Pieces(tokenizer_file, pattern))
 
 
 def tokenize(spark: SparkSession, text: Column, path: str, pattern: str, end_id: int) -> Column:

@@ -27,13 +27,12 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from basketry.llm.common import forget, keep
+from basketry.llm.common import forget, in_worker, keep
 
 STRIP = ".,;:!?()[]{}<>*#$%&=+|/\\_-~`^\"'“”„‘’«»…"
 QUOTES = "\"“”„«»"
@@ -45,7 +44,8 @@ REPORTING = frozenset(
 WINDOW = 5
 #: Lengths of the word beginnings that are counted.
 STEMS = range(3, 9)
-CACHE_SIZE = 400_000
+CACHE_SIZE = 200_000
+STATES = 20_000
 
 
 def allowed_edits(term: str) -> int:
@@ -79,6 +79,7 @@ class Automaton:
         self.number: dict[frozenset, int] = {frozenset(): 0}
         self.states: list[frozenset] = [frozenset()]
         self.next: list[dict[str, int]] = [{}]
+        self.ends: list[tuple[list, list]] = [([], [])]  # hits of stems and whole words by state
         self.begin = self._add({(0, 0)})
 
     def _add(self, state: set[tuple[int, int]]) -> int:
@@ -98,6 +99,7 @@ class Automaton:
             self.number[frozen] = len(self.states)
             self.states.append(frozen)
             self.next.append({})
+            self.ends.append((self._hits(frozen, self.stem), self._hits(frozen, self.whole)))
         return self.number[frozen]
 
     def _step(self, state: int, char: str) -> int:
@@ -113,10 +115,11 @@ class Automaton:
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(term, edits) of the closest term, or None."""
-        if len(self.states) > 50_000:
+        if len(self.states) > STATES:
             self.number, self.states, self.next = {frozenset(): 0}, [frozenset()], [{}]
+            self.ends = [([], [])]
             self.begin = self._add({(0, 0)})
-        state, found = self.begin, []
+        state, found, ends = self.begin, [], self.ends
         for char in word:
             after = self.next[state].get(char)
             if after is None:
@@ -124,15 +127,15 @@ class Automaton:
             state = after
             if not state:
                 break
-            found += self._accepted(state, self.stem)
+            found += ends[state][0]
         else:
-            found += self._accepted(state, self.whole)
+            found += ends[state][1]
         return min(found, key=lambda f: (f[1], f[0]), default=None)
 
-    def _accepted(self, state: int, ends: dict[int, tuple[int, int]]) -> list[tuple[int, int]]:
-        if not ends:
-            return []
-        hits = [(ends[node], edits) for node, edits in self.states[state] if node in ends]
+    @staticmethod
+    def _hits(state: frozenset, ends: dict[int, tuple[int, int]]) -> list[tuple[int, int]]:
+        """(term, edits) of the terms that end in a state."""
+        hits = [(ends[node], edits) for node, edits in state if node in ends]
         return [(term, edits) for (term, most), edits in hits if edits <= most]
 
 
@@ -143,19 +146,19 @@ class Scorer:
         self.automaton, self.worth = Automaton(terms), worth
         self.cache: dict[str, tuple[int, int] | None] = {}
 
-    def lookup(self, token: str) -> tuple[int, int] | None:
-        try:
-            return self.cache[token]
-        except KeyError:
-            pass
-        if len(self.cache) >= CACHE_SIZE:
-            self.cache.clear()
-        found = self.cache[token] = self.automaton.match(token.lower().strip(STRIP))
-        return found
+    def hits(self, tokens: list[str]) -> list[tuple[int, tuple[int, int]]]:
+        """(place, (term, edits)) of the tokens that match."""
+        known = self.cache
+        if len(known) >= CACHE_SIZE:
+            known.clear()
+        for token in set(tokens):
+            if token not in known:
+                known[token] = self.automaton.match(token.lower().strip(STRIP))
+        return [(i, hit) for i, hit in enumerate(map(known.__getitem__, tokens)) if hit]
 
     def features(self, text: str | None) -> list[float]:
         tokens = text.split() if text else []
-        hits = [(i, hit) for i, hit in enumerate(map(self.lookup, tokens)) if hit]
+        hits = self.hits(tokens)
         counts, terms = [0, 0, 0, 0], set()
         for i, (term, edits) in hits:
             counts[2 * bool(edits) + self.quoted(tokens, i)] += 1
@@ -185,9 +188,8 @@ class Model:
     weights: tuple[float, ...]
 
 
-@lru_cache(maxsize=2)
 def _scorer(terms: tuple[str, ...], worth: tuple[float, ...]) -> Scorer:
-    return Scorer(terms, worth)
+    return in_worker((terms, worth), lambda: Scorer(terms, worth))
 
 
 def _words(text: str | None) -> set[str]:
