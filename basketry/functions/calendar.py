@@ -48,11 +48,6 @@ def is_weekend(ts: Column) -> Column:
     return F.coalesce(F.weekday(F.to_date(ts)) >= 5, F.lit(False))
 
 
-def weekday_weekend(ts: Column) -> Column:
-    """``Weekend`` or ``Weekday``, by :func:`is_weekend`."""
-    return F.when(is_weekend(ts), F.lit(WEEKEND)).otherwise(F.lit(WEEKDAY))
-
-
 def weekday_name(ts: Column) -> Column:
     """English day name; null for a missing time."""
     names = F.array(*[F.lit(name) for name in WEEKDAY_NAMES])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, functions as F
 
 # Texts the usual CSV readers take for a missing value.
@@ -16,13 +18,26 @@ def missing_to_null(text: Column) -> Column:
     return F.when(~text.isin(*MISSING_TEXT), text)
 
 
-def to_utc_timestamp(text: Column) -> Column:
+def to_id(text: Column) -> Column:
+    """Text of an id, without white space around it; ``1005.0`` becomes ``1005``."""
+    return F.regexp_replace(F.trim(text), r"^([+-]?[0-9]+)\.0*$", "$1")
+
+
+#: Forms tried after ISO, in this order, where a column's text is not ISO.
+TIME_FORMATS = (
+    "yyyy/M/d H:mm:ss", "yyyy/M/d H:mm", "yyyy/M/d", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy",
+)
+
+
+def to_utc_timestamp(text: Column, formats: Iterable[str] = ()) -> Column:
     """Timestamp without zone, holding UTC; null where the text is no time.
 
+    ISO forms (with or without offset) are read first, then ``formats`` in turn.
     Needs a session in UTC (``basketry.session.apply_settings``): the parsed
     instant is stripped of its zone in the session's zone.
     """
-    return F.try_to_timestamp(text).cast("timestamp_ntz")
+    read = [F.try_to_timestamp(text), *(F.try_to_timestamp(text, F.lit(form)) for form in formats)]
+    return F.coalesce(*read).cast("timestamp_ntz")
 
 
 def to_number(text: Column, data_type: str = "double") -> Column:

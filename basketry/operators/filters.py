@@ -28,13 +28,17 @@ def replace_value(column: str, old, new) -> Column:
     return F.when(F.col(column) == F.lit(old), F.lit(new)).otherwise(F.col(column)).alias(column)
 
 
+def latest_date(df: DataFrame, column: str) -> Column:
+    """Midnight of the latest date of a column, as a scalar subquery."""
+    return df.select(F.to_date(F.max(column)).cast("timestamp_ntz").alias("end")).scalar()
+
+
 def filter_by_date(
     df: DataFrame,
     column: str,
     start: dt.date | None = None,
-    end: dt.date | None = None,
+    end: dt.date | Column | None = None,
     whole_end_day: bool = False,
-    span: DataFrame | None = None,
 ) -> DataFrame:
     """Rows from ``start`` to ``end``, both meaning midnight of that date.
 
@@ -43,9 +47,8 @@ def filter_by_date(
     ``whole_end_day`` is set. Rows without a time are dropped.
 
     The earliest date's midnight excludes nothing, so only a missing ``end``
-    costs a pass over the column (a scalar subquery, so the bound reaches the
-    file scan like a literal). ``span`` may name a cheaper frame with the same
-    latest date than ``df`` itself.
+    costs a pass over the column (a scalar subquery). ``end`` may also be a midnight
+    as a column, such as a scalar subquery over a cheaper frame (see :func:`latest_date`).
     """
     when = F.col(column)
     kept = df.where(when.isNotNull())
@@ -54,9 +57,10 @@ def filter_by_date(
     if end is None and whole_end_day:
         return kept
     if end is None:
-        dates = df if span is None else span
-        last_day = dates.select(F.to_date(F.max(column)).cast("timestamp_ntz").alias("end"))
-        return kept.where(when <= last_day.scalar())
+        end = latest_date(df, column)
+    if isinstance(end, Column):
+        after = end + F.make_dt_interval(days=F.lit(1))
+        return kept.where(when < after if whole_end_day else when <= end)
     if whole_end_day:
         after = end + dt.timedelta(days=1)
         return kept.where(when < F.lit(after).cast("timestamp_ntz"))

@@ -4,39 +4,46 @@
 plain aggregates rather than ranking windows: they combine before the shuffle (a
 hot key never gathers in one task) and do not depend on how rows are spread.
 
-By default rows are compared as ``(order, value)`` structs with min / max. That
-is insensitive to repeated rows, so Catalyst may drop a left join that only
-repeats them, but structs are aggregated by sorting. ``hashed=True`` picks with
-min_by instead: where order and values are numbers, dates or times this runs as
-a hash aggregate, which suits many rows per key.
+Where order and values are numbers, dates or times, rows are picked with min_by, which
+runs as a hash aggregate. Otherwise they are compared as ``(order, value)`` structs
+with min / max, which are aggregated by sorting. Both give the same rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampNTZType, TimestampType
 
+from basketry.operators.filters import drop_nulls
 from basketry.operators.grouping import group_nonnull
 
 ORDER = "row_order"
 
+_FIXED_WIDTH = (NumericType, BooleanType, DateType, TimestampType, TimestampNTZType)
 
-def first_value(column: str, order: str = ORDER, hashed: bool = False) -> Column:
-    """Aggregate: the first non-null value of a column."""
+
+def fixed_width(df: DataFrame, *columns: str) -> bool:
+    """Whether aggregates over these columns can run by hashing."""
+    return all(isinstance(df.schema[c].dataType, _FIXED_WIDTH) for c in columns)
+
+
+def first_value(df: DataFrame, column: str, order: str = ORDER) -> Column:
+    """Aggregate over ``df``: the first non-null value of a column."""
     known = F.col(column).isNotNull()
-    if hashed:
+    if fixed_width(df, column, order):
         return F.min_by(column, F.when(known, F.col(order)))
     return F.min(F.when(known, F.struct(F.col(order), F.col(column))))[column]
 
 
 def first_non_null(
-    df: DataFrame, keys: list[str], columns: list[str], order: str = ORDER, hashed: bool = False
+    df: DataFrame, keys: list[str], columns: list[str], order: str = ORDER
 ) -> DataFrame:
     """Per key, the first non-null value of each column on its own.
 
     Rows with a null key are dropped. Values of different columns may come from
     different rows.
     """
-    firsts = [first_value(c, order, hashed).alias(c) for c in columns]
+    firsts = [first_value(df, c, order).alias(c) for c in columns]
     return group_nonnull(df, *keys).agg(*firsts)
 
 
@@ -49,8 +56,12 @@ def dedup_rows(
 ) -> DataFrame:
     """Per key, the whole first (or last) row, nulls included.
 
-    A null key is a key like any other and keeps one row.
+    A null key is a key like any other and keeps one row. Rows of a key must differ
+    in their order or else be equal.
     """
+    if fixed_width(df, order, *columns):
+        pick = {"first": F.min_by, "last": F.max_by}[keep]
+        return df.groupBy(*keys).agg(*[pick(c, order).alias(c) for c in columns])
     pick = {"first": F.min, "last": F.max}[keep]
     ordered = F.struct(F.col(order), *[F.col(c) for c in columns])
     kept = df.groupBy(*keys).agg(pick(ordered).alias("kept"))
@@ -65,14 +76,12 @@ def row_at_max(
     Keys whose metric is null throughout have no such row and are dropped.
     """
     known = df.where(F.col(metric).isNotNull())
-    earliest = group_nonnull(known, *keys, metric).agg(
-        F.min(F.struct(F.col(order), *[F.col(c) for c in columns])).alias("row")
-    )
-    best = earliest.groupBy(*keys).agg(
-        F.max(F.struct(F.col(metric), F.col("row"))).alias("best")
-    )
+    earliest = dedup_rows(drop_nulls(known, *keys), [*keys, metric], columns, order)
+    if fixed_width(df, metric, *columns):
+        picked = [F.max_by(c, metric).alias(c) for c in columns]
+        return earliest.groupBy(*keys).agg(F.max(metric).alias(metric), *picked)
+    row = F.struct(F.col(metric), *[F.col(c) for c in columns])
+    best = earliest.groupBy(*keys).agg(F.max(row).alias("best"))
     return best.select(
-        *keys,
-        F.col("best")[metric].alias(metric),
-        *[F.col("best")["row"][c].alias(c) for c in columns],
+        *keys, F.col("best")[metric].alias(metric), *[F.col("best")[c].alias(c) for c in columns]
     )

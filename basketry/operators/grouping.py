@@ -52,8 +52,3 @@ def min_by_key(df: DataFrame, keys: list[str], column: str, name: str | None = N
 def value_counts(df: DataFrame, column: str, name: str) -> DataFrame:
     """Rows per value, nulls not counted."""
     return group_nonnull(df, column).agg(F.count(F.lit(1)).alias(name))
-
-
-def one_row(df: DataFrame, **measures: Column) -> DataFrame:
-    """Global aggregates as one row."""
-    return df.agg(*[measure.alias(name) for name, measure in measures.items()])

@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def check_limit(n: int, low: int = 1, high: int | None = None) -> int:
-    """Validate a user-chosen limit."""
-    if n < low or (high is not None and n > high):
-        raise ValueError(f"limit {n} is outside {low}..{high if high else ''}")
+def check_limit(n: int) -> int:
+    """A user-chosen limit; at least 1."""
+    if n < 1:
+        raise ValueError(f"limit {n} is less than 1")
     return n
 
 

@@ -15,7 +15,7 @@ from basketry.operators.grain import ORDER
 from basketry.operators.grouping import distinct_by, distinct_count
 from basketry.operators.ranking import check_limit, top_n
 from basketry.plans import profiles
-from basketry.plans.inputs import ALL_COLUMNS, requires
+from basketry.plans.inputs import Whole, requires
 from basketry.plans.orders import order_times
 
 _TIMED = ("Order_ID", "Order_Created_At", ORDER)
@@ -28,7 +28,7 @@ def total(abandoned: DataFrame) -> DataFrame:
     return distinct_count(abandoned, "Order_ID", "total_abandoned_orders")
 
 
-@requires(abandoned=ALL_COLUMNS)
+@requires(abandoned=Whole(["Order_Created_At"]))
 def filtered(abandoned: DataFrame, start: dt.date | None = None, end: dt.date | None = None,
              whole_end_day: bool = False) -> DataFrame:
     """Abandoned checkouts created in the date range."""
@@ -99,7 +99,7 @@ def by_referring_site(abandoned: DataFrame, n: int = 10) -> DataFrame:
 
     A missing site is ``Unknown``; checkouts without an id count as one order.
     """
-    check_limit(n, high=50)
+    check_limit(n)
     known = abandoned.select(
         replace_null("Order_Referring_Site", "Unknown"),
         id_text(F.col("Order_ID")).alias("Order_ID"),

@@ -11,7 +11,7 @@ from basketry.operators.filters import filter_by_date
 from basketry.operators.grain import ORDER, dedup_rows, first_non_null
 from basketry.operators.grouping import distinct_by, distinct_count, group_nonnull, sum_by
 from basketry.operators.ranking import bottom_n, check_limit, top_n
-from basketry.plans.inputs import ALL_COLUMNS, requires
+from basketry.plans.inputs import Whole, requires
 
 _SPEND = ("Order_ID", "Customer_Name", "Order_Total_Price", ORDER)
 
@@ -49,7 +49,7 @@ def repeat_count(orders: DataFrame) -> DataFrame:
     return order_summary(orders).agg(F.count(F.lit(1)).alias("repeat_customers"))
 
 
-@requires(customers=ALL_COLUMNS)
+@requires(customers=Whole(["Customer_Created_At"]))
 def filtered(customers: DataFrame, start: dt.date | None = None, end: dt.date | None = None,
              whole_end_day: bool = False) -> DataFrame:
     """Customers created in the date range."""
@@ -65,14 +65,14 @@ def _spend_per_customer(orders: DataFrame) -> DataFrame:
 @requires(orders=_SPEND)
 def top_spend(orders: DataFrame, n: int = 5) -> DataFrame:
     """The n customers (up to 50) who spent most, each order counted once."""
-    check_limit(n, high=50)
+    check_limit(n)
     return top_n(_spend_per_customer(orders), "Order_Total_Price", n, ["Customer_Name"])
 
 
 @requires(orders=_SPEND)
 def least_spend(orders: DataFrame, n: int = 5) -> DataFrame:
     """The n customers (up to 50) who spent least, each order counted once."""
-    check_limit(n, high=50)
+    check_limit(n)
     return bottom_n(_spend_per_customer(orders), "Order_Total_Price", n, ["Customer_Name"])
 
 

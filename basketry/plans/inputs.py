@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame
 
 from basketry.sources.schemas import check_columns
 
-ALL_COLUMNS = None
 
 
-def requires(**needs: tuple[str, ...] | None) -> Callable:
+class Whole(tuple):
+    """All columns of a table; the named ones must be there."""
+
+
+def requires(**needs: tuple[str, ...]) -> Callable:
     """Name the tables a query reads and the columns it uses of each.
 
     The frames are passed in the declared order. Missing columns are reported
@@ -28,8 +31,8 @@ def requires(**needs: tuple[str, ...] | None) -> Callable:
                 raise TypeError(f"{query.__name__} reads the tables {', '.join(needs)}")
             inputs = []
             for (table, columns), frame in zip(needs.items(), frames):
-                if columns is not ALL_COLUMNS:
-                    check_columns(frame, table, columns)
+                check_columns(frame, table, columns)
+                if not isinstance(columns, Whole):
                     frame = frame.select(*columns)
                 inputs.append(frame)
             return query(*inputs, **choices)

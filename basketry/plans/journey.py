@@ -22,7 +22,7 @@ from basketry.operators.grouping import (
 )
 from basketry.operators.ranking import check_limit, sort_by, top_n
 from basketry.plans import profiles
-from basketry.plans.inputs import ALL_COLUMNS, requires
+from basketry.plans.inputs import Whole, requires
 
 # Event names and limits of the bounce reports.
 PAGE_EVENTS = ("Cart", "Home", "Product", "Collection")
@@ -70,7 +70,7 @@ def peak_session_rows(journey: DataFrame) -> DataFrame:
     )
 
 
-@requires(journey=ALL_COLUMNS)
+@requires(journey=Whole(["Event_Time"]))
 def filtered(journey: DataFrame, start: dt.date | None = None, end: dt.date | None = None,
              whole_end_day: bool = False) -> DataFrame:
     """Events in the date range."""
@@ -80,7 +80,7 @@ def filtered(journey: DataFrame, start: dt.date | None = None, end: dt.date | No
 def _first_per_session(journey: DataFrame, name: str, value: Column) -> DataFrame:
     """Per session, the first known value of a fixed-width expression over its events."""
     events = journey.withColumn(name, value)
-    return first_non_null(events, _SESSION, [name], hashed=True)
+    return first_non_null(events, _SESSION, [name])
 
 
 @requires(journey=_TIMED)
@@ -116,7 +116,7 @@ def avg_sessions_per_customer(journey: DataFrame) -> DataFrame:
 @requires(journey=("Customer_IP", "session", "Event_Time", "Time_On_Page", ORDER))
 def longest_sessions(journey: DataFrame, n: int = 10) -> DataFrame:
     """The n sessions with most time on page and the date they began."""
-    first_time = first_value("Event_Time", hashed=True)
+    first_time = first_value(journey, "Event_Time")
     sessions = group_nonnull(journey, "session", "Customer_IP").agg(
         sum_or_zero(F.col("Time_On_Page")).alias("seconds"),
         cal.day(first_time).alias("Event_time"),
@@ -129,7 +129,7 @@ def longest_sessions(journey: DataFrame, n: int = 10) -> DataFrame:
 @requires(journey=("Customer_IP", "session"))
 def top_ips_by_session(journey: DataFrame, n: int = 10) -> DataFrame:
     """The n visitors (up to 50) with most sessions."""
-    check_limit(n, high=50)
+    check_limit(n)
     per_visitor = max_by_key(journey, ["Customer_IP"], "session")
     return top_n(per_visitor, "session", n, ["Customer_IP"])
 
@@ -168,7 +168,7 @@ def sessions_per_year(journey: DataFrame, as_of: dt.date | None = None) -> DataF
 @requires(journey=("Product_Name", "Customer_IP"))
 def top_products_viewed(journey: DataFrame, n: int = 10) -> DataFrame:
     """The n products (up to 50) seen by most visitors."""
-    check_limit(n, high=50)
+    check_limit(n)
     seen = distinct_by(journey, "Product_Name", "Customer_IP", "Unique_Visitors")
     return top_n(seen, "Unique_Visitors", n, ["Product_Name"])
 
@@ -176,7 +176,7 @@ def top_products_viewed(journey: DataFrame, n: int = 10) -> DataFrame:
 @requires(journey=("Collection_Name", "Customer_IP"))
 def top_collections_viewed(journey: DataFrame, n: int = 10) -> DataFrame:
     """The n collections (up to 50) seen by most visitors."""
-    check_limit(n, high=50)
+    check_limit(n)
     seen = distinct_by(journey, "Collection_Name", "Customer_IP", "Unique_Visitors")
     return top_n(seen, "Unique_Visitors", n, ["Collection_Name"])
 
@@ -184,7 +184,7 @@ def top_collections_viewed(journey: DataFrame, n: int = 10) -> DataFrame:
 @requires(journey=("Event", "Product_Name", "Customer_IP"))
 def top_cart_products(journey: DataFrame, n: int = 10, cart_event: str = CART_EVENT) -> DataFrame:
     """The n products (10 to 50) put into the cart by most visitors."""
-    check_limit(n, low=10, high=50)
+    check_limit(n)
     added = journey.where(F.col("Event") == cart_event)
     by_product = distinct_by(added, "Product_Name", "Customer_IP", "Unique_Visitors")
     return top_n(by_product, "Unique_Visitors", n, ["Product_Name"])

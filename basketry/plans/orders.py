@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from basketry.functions import calendar as cal
 from basketry.functions.ratios import exact_mean, rounded
@@ -18,7 +18,7 @@ from basketry.operators.grain import ORDER, dedup_rows, first_non_null
 from basketry.operators.grouping import distinct_by, distinct_count, group_nonnull
 from basketry.operators.ranking import bottom_n, check_limit, top_n
 from basketry.plans import profiles
-from basketry.plans.inputs import ALL_COLUMNS, requires
+from basketry.plans.inputs import Whole, requires
 
 _TIMED = ("Order_ID", "Order_Created_At", ORDER)
 _VALUED = ("Customer_Name", "Order_ID", "Order_Total_Price", ORDER)
@@ -35,11 +35,11 @@ def total(orders: DataFrame) -> DataFrame:
     return distinct_count(orders, "Order_ID", "total_orders")
 
 
-@requires(orders=ALL_COLUMNS)
-def filtered(orders: DataFrame, start: dt.date | None = None, end: dt.date | None = None,
-             whole_end_day: bool = False, span: DataFrame | None = None) -> DataFrame:
+@requires(orders=Whole(["Order_Created_At"]))
+def filtered(orders: DataFrame, start: dt.date | None = None, end: dt.date | Column | None = None,
+             whole_end_day: bool = False) -> DataFrame:
     """Order lines created in the date range."""
-    kept = filter_by_date(orders, "Order_Created_At", start, end, whole_end_day, span)
+    kept = filter_by_date(orders, "Order_Created_At", start, end, whole_end_day)
     return kept.drop(ORDER)
 
 
@@ -131,7 +131,7 @@ def _first_order_per_customer(orders: DataFrame) -> DataFrame:
 @requires(orders=_VALUED)
 def highest_valued(orders: DataFrame, n: int = 5) -> DataFrame:
     """Customers ranked by the price of their *first* order, highest n (up to 50)."""
-    check_limit(n, high=50)
+    check_limit(n)
     firsts = _first_order_per_customer(orders)
     return top_n(firsts, "Order_Total_Price", n, ["Customer_Name"])
 
@@ -139,7 +139,7 @@ def highest_valued(orders: DataFrame, n: int = 5) -> DataFrame:
 @requires(orders=_VALUED)
 def least_valued(orders: DataFrame, n: int = 5) -> DataFrame:
     """Customers ranked by the price of their *first* order, lowest n (up to 50)."""
-    check_limit(n, high=50)
+    check_limit(n)
     firsts = _first_order_per_customer(orders)
     return bottom_n(firsts, "Order_Total_Price", n, ["Customer_Name"])
 

@@ -22,7 +22,7 @@ from basketry.operators.grouping import (
 )
 from basketry.operators.membership import not_in
 from basketry.operators.ranking import bottom_n, check_limit, top_n
-from basketry.plans.inputs import ALL_COLUMNS, requires
+from basketry.plans.inputs import Whole, requires
 
 _PRICED = ("Product_ID", "Product_Title", "Product_Published_At", "Variant_Price")
 _PRODUCT = ["Product_ID", "Product_Title"]
@@ -47,7 +47,7 @@ def total_published(products: DataFrame) -> DataFrame:
     return distinct_count(published(products), "Product_ID", "total_products")
 
 
-@requires(products=ALL_COLUMNS)
+@requires(products=Whole(["Product_Created_At"]))
 def filtered(products: DataFrame, start: dt.date | None = None, end: dt.date | None = None,
              whole_end_day: bool = False) -> DataFrame:
     """Products created in the date range."""

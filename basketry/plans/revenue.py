@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from basketry.functions import calendar as cal
 from basketry.functions.ratios import exact_mean, rounded, sum_or_zero
@@ -14,7 +14,7 @@ from basketry.operators.grain import ORDER, dedup_rows
 from basketry.operators.grouping import sum_by
 from basketry.operators.ranking import check_limit, top_n
 from basketry.plans import profiles
-from basketry.plans.inputs import ALL_COLUMNS, requires
+from basketry.plans.inputs import Whole, requires
 
 _PRICED = ("Order_ID", "Order_Total_Price", ORDER)
 _TIMED = ("Order_ID", "Order_Created_At", "Order_Total_Price", ORDER)
@@ -49,11 +49,11 @@ def refund_total(orders: DataFrame) -> DataFrame:
     return rows.agg(sum_or_zero(F.col("Order_Refund_Amount")).alias("total_refund"))
 
 
-@requires(orders=ALL_COLUMNS)
-def filtered(orders: DataFrame, start: dt.date | None = None, end: dt.date | None = None,
-             whole_end_day: bool = False, span: DataFrame | None = None) -> DataFrame:
+@requires(orders=Whole(["Order_Created_At"]))
+def filtered(orders: DataFrame, start: dt.date | None = None, end: dt.date | Column | None = None,
+             whole_end_day: bool = False) -> DataFrame:
     """Order lines created in the date range."""
-    kept = filter_by_date(orders, "Order_Created_At", start, end, whole_end_day, span)
+    kept = filter_by_date(orders, "Order_Created_At", start, end, whole_end_day)
     return kept.drop(ORDER)
 
 

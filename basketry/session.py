@@ -20,10 +20,24 @@ SETTINGS = {
 }
 
 
+#: Shuffle partitions to start from on a cluster. AQE merges those that turn out small
+#: but splits no aggregate's partition, so the number must suit the largest shuffle.
+CLUSTER_PARTITIONS = 4000
+
+
 def apply_settings(spark: SparkSession) -> SparkSession:
-    """Apply :data:`SETTINGS` to an existing session and return it."""
+    """Apply :data:`SETTINGS` to an existing session and return it.
+
+    On a cluster shuffles start from :data:`CLUSTER_PARTITIONS` partitions, unless the
+    session names a number itself; a local session keeps ``spark.sql.shuffle.partitions``.
+    """
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    local = spark.conf.get("spark.master", "").startswith("local")
+    if not local and spark.conf.get(initial, None) is None:
+        more = max(CLUSTER_PARTITIONS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        spark.conf.set(initial, str(more))
     return spark
 
 

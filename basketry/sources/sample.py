@@ -7,7 +7,6 @@ their primary key with a left join, so leaving one out changes no row.
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -44,7 +43,7 @@ SAMPLE_SCHEMAS = {
         "o_orderdate timestamp_ntz, o_orderpriority string"
     ),
     "lineitem": (
-        "l_orderkey bigint, l_partkey bigint, l_quantity double, l_shipdate timestamp_ntz"
+        "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_quantity double"
     ),
     "events": (
         "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
@@ -53,7 +52,7 @@ SAMPLE_SCHEMAS = {
 }
 
 
-def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.schema(SAMPLE_SCHEMAS[table]).parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -69,14 +68,37 @@ def _calendar_day(number: Column) -> Column:
     return F.date_add(F.lit(CALENDAR_START).cast("date"), number.cast("int"))
 
 
-def _order_facts() -> dict[str, Column]:
-    """Order-level columns, over the base table ``orders`` (and ``customer``)."""
+#: Multiples of it are apart by more than a line number, which is below 8.
+_LINES = 8
+
+
+def _line() -> Column:
+    """Number of an order's line; 0 stands for an order without lines."""
+    return F.coalesce("l_linenumber", F.lit(0))
+
+
+def _order_facts(by_line: bool = False) -> dict[str, Column]:
+    """Order-level columns, over the base table ``orders`` (and ``customer``).
+
+    ``by_line``: some values differ between the lines of an order, so that the first
+    known value and the first row of an order are different things. They depend on the
+    order key and the line number only.
+    """
     key = F.col("o_orderkey")
+    price, site, name = _money("o_totalprice"), F.col("o_orderpriority"), F.col("c_name")
+    place = key
+    if by_line:
+        first, later = _line() == 1, _line() > 1
+        other = (price + _line()).cast("decimal(18,2)")
+        price = F.when(~(first & (key % 3 == 0)), F.when(later & (key % 5 == 0), other).otherwise(price))
+        site = F.when(~(first & (key % 4 == 1)), site)
+        name = F.when(~(first & (key % 6 == 2)), name)
+        place = key * _LINES + _line()
     return {
         "Order_ID": key,
         "Customer_ID": F.col("o_custkey"),
-        "Customer_Name": F.col("c_name"),
-        "Order_Total_Price": _money("o_totalprice"),
+        "Customer_Name": name,
+        "Order_Total_Price": price,
         "Order_Refund_Amount": F.when(key % 7 == 0, _money("o_totalprice")).otherwise(
             F.lit(0).cast("decimal(18,2)")
         ),
@@ -84,71 +106,85 @@ def _order_facts() -> dict[str, Column]:
         "Order_Cancelled_At": F.when(
             (F.col("o_orderstatus") == "F") & (key % 10 == 0), F.col("o_orderdate")
         ),
-        "Order_Referring_Site": F.when(key % 20 != 0, F.col("o_orderpriority")),
-        # Order-level values are constant within an order, so the order key is
-        # all it takes to order rows.
-        ORDER: key,
+        "Order_Referring_Site": F.when(key % 20 != 0, site),
+        ORDER: place,
     }
 
 
+def _product() -> Column:
+    """Every fourth part is sold, so that most of the catalogue is not."""
+    part = F.col("l_partkey")
+    return part - (part - 1) % 4
+
+
 _LINE_FACTS = {
-    "Product_ID": lambda: F.col("l_partkey"),
+    "Product_ID": _product,
     "Product_Name": lambda: F.col("p_name"),
     "Product_Quantity": lambda: F.col("l_quantity").cast("bigint"),
 }
+#: Columns that are the same in all lines of an order.
+_CONSTANT = {"Order_ID", "Customer_ID", "Order_Refund_Amount", "Order_Created_At", "Order_Cancelled_At"}
+_USES = {
+    "Order_ID": ["o_orderkey"],
+    "Customer_ID": ["o_custkey"],
+    "Customer_Name": ["o_custkey", "o_orderkey"],
+    "Order_Total_Price": ["o_orderkey", "o_totalprice"],
+    "Order_Refund_Amount": ["o_orderkey", "o_totalprice"],
+    "Order_Created_At": ["o_orderkey", "o_orderdate"],
+    "Order_Cancelled_At": ["o_orderkey", "o_orderstatus", "o_orderdate"],
+    "Order_Referring_Site": ["o_orderkey", "o_orderpriority"],
+    ORDER: ["o_orderkey"],
+    "Product_ID": ["l_partkey"],
+    "Product_Name": ["l_partkey"],
+    "Product_Quantity": ["l_quantity"],
+}
 
 
 def orders(
     spark: SparkSession,
     sf_dir: str,
     columns: Iterable[str] | None = None,
-    shipped_before: dt.date | None = None,
+    empty_line_each: bool = False,
 ) -> DataFrame:
     """One row per order line, and one per order without lines.
 
-    ``shipped_before`` keeps the lines shipped before a date (and no orders
-    without lines).
+    Orders join their lines first and names come last, so a filter on orders reaches
+    both the join and the branch of orders without lines. Both are joins AQE can split
+    on the side of the lines. Every line belongs to an order (foreign key), so columns
+    of lines alone need no join. Columns that are the same in all lines of an order,
+    and no others, are attached to the lines with a left join, which Catalyst drops when
+    the query is insensitive to repeated rows.
 
-    With order-level columns only, lines are attached with a left join, which
-    Catalyst drops when the query is insensitive to repeated rows. Otherwise an
-    empty line is added for each order without lines and order-level columns are
-    joined inner: AQE can split a hot order on the line side of an inner join,
-    but not on the right side of a left join. Every line belongs to an order
-    (foreign key), so line-level columns alone need no join to orders.
+    ``empty_line_each`` adds the empty line to every order instead of to those without
+    lines: for queries that more empty lines cannot change, one pass over the lines.
     """
     wanted = ORDER_COLUMNS + (ORDER,) if columns is None else tuple(columns)
-    facts = _order_facts()
-    order_level = [c for c in wanted if c in facts]
     line_level = [c for c in wanted if c in _LINE_FACTS]
-
-    heads = _read(spark, sf_dir, "orders")
-    keys = heads.select(F.col("o_orderkey").alias("l_orderkey"))
+    heads = read_table(spark, sf_dir, "orders")
+    lines = read_table(spark, sf_dir, "lineitem")
+    same_order = F.col("l_orderkey") == F.col("o_orderkey")
+    if set(wanted) <= _CONSTANT:
+        rows = heads.join(lines.select("l_orderkey"), same_order, "left")
+        return rows.select(*[_order_facts()[c].alias(c) for c in wanted])
+
+    used = [c for name in wanted for c in _USES[name]]
+    heads = heads.select("o_orderkey", *sorted({c for c in used if c.startswith("o_")} - {"o_orderkey"}))
+    own = sorted({c for c in used if c.startswith("l_")})
+    if set(wanted) - set(line_level):
+        with_lines = heads.join(lines.select("l_orderkey", "l_linenumber", *own), same_order)
+    else:
+        with_lines = lines.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", *own)
+    if not empty_line_each:
+        heads = heads.join(lines.select("l_orderkey").distinct(), same_order, "left_anti")
+    rows = with_lines.drop("l_orderkey").unionByName(heads, allowMissingColumns=True)
     if "Customer_Name" in wanted:
-        names = _read(spark, sf_dir, "customer").select("c_custkey", "c_name")
-        heads = heads.join(names, F.col("o_custkey") == F.col("c_custkey"), "left")
-    heads = heads.select(
-        F.col("o_orderkey").alias("head_key"), *[facts[c].alias(c) for c in order_level]
-    )
-
-    lines = _read(spark, sf_dir, "lineitem")
-    if shipped_before is not None:
-        lines = lines.where(
-            F.col("l_shipdate") < F.lit(shipped_before).cast("timestamp_ntz")
-        )
-    same_order = F.col("l_orderkey") == F.col("head_key")
-    if not line_level and shipped_before is None:
-        return heads.join(lines.select("l_orderkey"), same_order, "left").select(*wanted)
-
-    without_lines = keys.join(lines.select("l_orderkey").distinct(), "l_orderkey", "left_anti")
+        names = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+        rows = rows.join(names, F.col("o_custkey") == F.col("c_custkey"), "left")
     if "Product_Name" in wanted:
-        parts = _read(spark, sf_dir, "part").select("p_partkey", "p_name")
-        lines = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
-    lines = lines.select("l_orderkey", *[_LINE_FACTS[c]().alias(c) for c in line_level])
-    if shipped_before is None:
-        lines = lines.unionByName(without_lines, allowMissingColumns=True)
-    if order_level:
-        lines = lines.join(heads, same_order)
-    return lines.select(*wanted)
+        parts = read_table(spark, sf_dir, "part").select("p_partkey", "p_name")
+        rows = rows.join(parts, _product() == F.col("p_partkey"), "left")
+    facts = _order_facts(by_line=True) | {c: _LINE_FACTS[c]() for c in line_level}
+    return rows.select(*[facts[c].alias(c) for c in wanted])
 
 
 def abandoned(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None) -> DataFrame:
@@ -156,19 +192,19 @@ def abandoned(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None =
     names = ("Order_ID", "Customer_ID", "Order_Created_At", "Order_Referring_Site", ORDER)
     wanted = names if columns is None else tuple(columns)
     facts = _order_facts()
-    pending = _read(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "P")
+    pending = read_table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "P")
     return pending.select(*[facts[c].alias(c) for c in wanted])
 
 
 def customers(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None) -> DataFrame:
     names = ("Customer_ID", "Customer_Province", "Customer_Country", "Customer_Created_At", ORDER)
     wanted = names if columns is None else tuple(columns)
-    rows = _read(spark, sf_dir, "customer")
+    rows = read_table(spark, sf_dir, "customer")
     if "Customer_Province" in wanted or "Customer_Country" in wanted:
-        nations = _read(spark, sf_dir, "nation")
+        nations = read_table(spark, sf_dir, "nation")
         rows = rows.join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     if "Customer_Country" in wanted:
-        regions = _read(spark, sf_dir, "region")
+        regions = read_table(spark, sf_dir, "region")
         rows = rows.join(regions, F.col("n_regionkey") == F.col("r_regionkey"), "left")
     key = F.col("c_custkey")
     created_on = _calendar_day(key % 365).cast("timestamp_ntz")
@@ -197,7 +233,7 @@ def products(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = N
         ORDER: key,
     }
     wanted = tuple(facts) if columns is None else tuple(columns)
-    return _read(spark, sf_dir, "part").select(*[facts[c].alias(c) for c in wanted])
+    return read_table(spark, sf_dir, "part").select(*[facts[c].alias(c) for c in wanted])
 
 
 def _half_day(ts: Column) -> list[Column]:
@@ -208,9 +244,12 @@ def _half_day(ts: Column) -> list[Column]:
     ]
 
 
-def _with_sessions(events: DataFrame) -> DataFrame:
+def _with_sessions(events: DataFrame, whole: bool = True) -> DataFrame:
     """Number each user's sessions; a gap over 12 hours starts a new one.
 
+    Unless ``whole`` events are asked for, the summaries are on the left of the join
+    back, which Catalyst drops when the query is insensitive to repeated rows.
+
     Events of one half-day slot are never more than 12 hours apart, hence always
     in one session. So sessions are numbered on (user, slot) summaries: the
     window sorts at most two rows per user and day, however many events a user
@@ -225,21 +264,23 @@ def _with_sessions(events: DataFrame) -> DataFrame:
     numbered = slots.select(*slot, opens.cast("bigint").alias("opens")).select(
         *slot, F.sum("opens").over(in_time).alias("session")
     )
+    if not whole:
+        return numbered.join(slotted.select(*slot), slot, "left")
     return slotted.join(numbered, slot, "left")
 
 
 def journey(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None) -> DataFrame:
     """One row per event, in the order of the event feed (``event_id``)."""
     wanted = JOURNEY_COLUMNS + (ORDER,) if columns is None else tuple(columns)
-    rows = _read(spark, sf_dir, "events")
+    rows = read_table(spark, sf_dir, "events")
     product = F.get_json_object("props", "$.k").try_cast("bigint")
     if {"Product_ID", "Product_Name", "Collection_Name", "Search_Term"} & set(wanted):
         rows = rows.withColumn("k", product)
     if {"Product_Name", "Collection_Name", "Search_Term"} & set(wanted):
-        parts = _read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
+        parts = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
         rows = rows.join(parts, F.col("k") == F.col("p_partkey"), "left")
     if "session" in wanted:
-        rows = _with_sessions(rows)
+        rows = _with_sessions(rows, whole=bool(set(wanted) - {"Customer_IP", "session"}))
     facts = {
         "Customer_IP": lambda: F.col("user_id").cast("string"),
         "Event_Time": lambda: F.col("ts"),

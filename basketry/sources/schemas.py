@@ -10,7 +10,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql.types import (
-    DecimalType, DoubleType, LongType, StringType, StructField, StructType, TimestampNTZType,
+    DecimalType, LongType, StringType, StructField, StructType, TimestampNTZType,
 )
 
 _MONEY = DecimalType(18, 2)
@@ -20,7 +20,11 @@ def _table(**columns) -> StructType:
     return StructType([StructField(name, kind) for name, kind in columns.items()])
 
 
-_ID, _TEXT, _TIME = LongType(), StringType(), TimestampNTZType()
+class IdType(StringType):
+    """Text of an id; whole numbers written with decimals (``1005.0``) lose them."""
+
+
+_ID, _TEXT, _TIME = IdType(), StringType(), TimestampNTZType()
 
 SCHEMAS = {
     # one row per order line; order-level values repeat
@@ -37,7 +41,7 @@ SCHEMAS = {
     # one row per page event
     "journey": _table(
         Customer_IP=_TEXT, session=LongType(), Event_Time=_TIME, Event=_TEXT,
-        Time_On_Page=DoubleType(), Product_ID=_ID, Product_Name=_TEXT,
+        Time_On_Page=DecimalType(18, 6), Product_ID=_ID, Product_Name=_TEXT,
         Collection_Name=_TEXT, Search_Term=_TEXT,
     ),
     "abandoned": _table(

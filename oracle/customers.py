@@ -4,13 +4,13 @@ from oracle.tables import date_filtered
 
 _SPEND = """
 SELECT Customer_Name, CAST(coalesce(sum(Order_Total_Price), 0) AS DOUBLE) AS Order_Total_Price
-FROM v_heads WHERE Customer_Name IS NOT NULL GROUP BY Customer_Name
+FROM v_first WHERE Customer_Name IS NOT NULL GROUP BY Customer_Name
 """
 
 _SUMMARY = """
 SELECT Customer_Name, count(DISTINCT Order_ID) AS Orders_Placed,
-       CAST(sum(Order_Total_Price) AS DOUBLE) AS Total_Spending
-FROM v_heads WHERE Customer_Name IS NOT NULL
+       CAST(coalesce(sum(Order_Total_Price), 0) AS DOUBLE) AS Total_Spending
+FROM v_known WHERE Customer_Name IS NOT NULL
 GROUP BY Customer_Name HAVING count(DISTINCT Order_ID) >= 2
 """
 
@@ -24,8 +24,8 @@ SQL = {
         "v_customers", "Customer_Created_At",
         "Customer_ID, Customer_Province, Customer_Country, Customer_Created_At",
     ),
-    "cust_top_spend": _SPEND + "ORDER BY sum(v_heads.Order_Total_Price) DESC, Customer_Name LIMIT 5",
-    "cust_least_spend": _SPEND + "ORDER BY sum(v_heads.Order_Total_Price), Customer_Name LIMIT 5",
+    "cust_top_spend": _SPEND + "ORDER BY coalesce(sum(v_first.Order_Total_Price), 0) DESC, Customer_Name LIMIT 5",
+    "cust_least_spend": _SPEND + "ORDER BY coalesce(sum(v_first.Order_Total_Price), 0), Customer_Name LIMIT 5",
     "cust_order_summary": _SUMMARY,
     "cust_by_province": """
 SELECT Customer_Province, count(DISTINCT Customer_ID) AS Unique_Customers

@@ -9,14 +9,15 @@ SHOWN = """Order_ID, Customer_ID, Customer_Name,
        Product_ID, Product_Name, Product_Quantity"""
 
 _periods = t.per_period(
-    "SELECT CAST(Order_Created_At AS DATE) AS day, count(*) AS n FROM v_heads GROUP BY 1",
+    "SELECT CAST(Order_Created_At AS DATE) AS day, count(*) AS n FROM v_known GROUP BY 1",
     "order_count", "2001-08-15",
 )
 
 _FIRST = """
-SELECT Customer_Name, Order_ID, CAST(Order_Total_Price AS DOUBLE) AS Order_Total_Price
-FROM (SELECT *, row_number() OVER (PARTITION BY Customer_Name ORDER BY Order_ID) AS r FROM v_heads)
-WHERE r = 1
+SELECT Customer_Name, arg_min(Order_ID, row_order) AS Order_ID,
+       CAST(arg_min(Order_Total_Price, row_order) FILTER (WHERE Order_Total_Price IS NOT NULL) AS DOUBLE)
+           AS Order_Total_Price
+FROM v_orders WHERE Customer_Name IS NOT NULL GROUP BY Customer_Name
 """
 
 _PER_CUSTOMER = "SELECT Customer_ID, count(DISTINCT Order_ID) AS n FROM v_orders GROUP BY Customer_ID"
@@ -24,9 +25,9 @@ _PER_CUSTOMER = "SELECT Customer_ID, count(DISTINCT Order_ID) AS n FROM v_orders
 SQL = {
     "ord_total": "SELECT count(DISTINCT Order_ID) AS total_orders FROM v_orders",
     "ord_filtered": t.date_filtered("v_orders", "Order_Created_At", SHOWN),
-    "ord_weekday_weekend": t.weekday_weekend("v_heads", "Order_Created_At"),
-    "ord_by_weekday_name": t.by_weekday_name("v_heads", "Order_Created_At"),
-    "ord_by_hour": t.by_hour("v_heads", "Order_Created_At", "Number_Of_Orders"),
+    "ord_weekday_weekend": t.weekday_weekend("v_known", "Order_Created_At"),
+    "ord_by_weekday_name": t.by_weekday_name("v_known", "Order_Created_At"),
+    "ord_by_hour": t.by_hour("v_known", "Order_Created_At", "Number_Of_Orders"),
     **{f"ord_per_{period}": sql for period, sql in _periods.items()},
     "ord_avg_per_customer":
         f"SELECT round_even(avg(n), 2) AS average_orders_per_customer FROM ({_PER_CUSTOMER})",
@@ -35,11 +36,11 @@ SQL = {
     "ord_max_per_customer": f"SELECT max(n) AS max_orders_per_customer FROM ({_PER_CUSTOMER})",
     "ord_avg_value": """
 SELECT round_even(CAST(sum(Order_Total_Price) AS DOUBLE) / count(Order_Total_Price), 2)
-       AS average_order_value FROM v_heads""",
-    "ord_highest_valued": _FIRST + "ORDER BY Order_Total_Price DESC, Customer_Name LIMIT 5",
-    "ord_least_valued": _FIRST + "ORDER BY Order_Total_Price, Customer_Name LIMIT 5",
+       AS average_order_value FROM v_known""",
+    "ord_highest_valued": _FIRST + "ORDER BY Order_Total_Price DESC NULLS LAST, Customer_Name LIMIT 5",
+    "ord_least_valued": _FIRST + "ORDER BY Order_Total_Price NULLS LAST, Customer_Name LIMIT 5",
     "ord_by_referring_site": """
 SELECT Order_Referring_Site, count(Order_ID) AS Total_Orders
-FROM v_heads WHERE Order_Referring_Site IS NOT NULL GROUP BY Order_Referring_Site
+FROM v_first WHERE Order_Referring_Site IS NOT NULL GROUP BY Order_Referring_Site
 ORDER BY Total_Orders DESC, Order_Referring_Site LIMIT 5""",
 }

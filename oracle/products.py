@@ -32,8 +32,7 @@ ORDER BY 3, 1, 2 LIMIT 5""",
 SELECT DISTINCT CAST(Product_ID AS VARCHAR) AS Product_ID, Product_Title,
        CAST(split_part(Product_Published_At, 'T', 1) AS DATE) AS Product_Published_At
 FROM v_published p
-WHERE NOT EXISTS (SELECT 1 FROM v_orders o WHERE o.Product_ID = p.Product_ID
-                  AND o.l_shipdate < TIMESTAMP '1995-02-01')""",
+WHERE NOT EXISTS (SELECT 1 FROM v_orders o WHERE o.Product_ID = p.Product_ID)""",
     "prod_price_quartiles": """
 SELECT quantile_cont(CAST(Variant_Price AS DOUBLE), 0.25) AS lower_quartile,
        quantile_cont(CAST(Variant_Price AS DOUBLE), 0.75) AS upper_quartile

@@ -13,23 +13,43 @@ _ORDER_FACTS = """
            AS Order_Cancelled_At,
        CASE WHEN o_orderkey % 20 <> 0 THEN o_orderpriority END AS Order_Referring_Site"""
 
+# Values that differ between the lines of an order, by order key and line number.
+_LINE_PRICE = """CAST(CASE WHEN line = 1 AND o_orderkey % 3 = 0 THEN NULL
+                 WHEN line > 1 AND o_orderkey % 5 = 0
+                 THEN CAST(o_totalprice AS DECIMAL(18,2)) + line
+                 ELSE o_totalprice END AS DECIMAL(18,2)) AS Order_Total_Price"""
+_LINE_SITE = """CASE WHEN o_orderkey % 20 <> 0 AND NOT (line = 1 AND o_orderkey % 4 = 1)
+            THEN o_orderpriority END AS Order_Referring_Site"""
+
 TABLES = {
     "v_orders": f"""
-SELECT {_ORDER_FACTS},
-       c_name AS Customer_Name,
-       l_partkey AS Product_ID,
-       p_name AS Product_Name,
-       CAST(l_quantity AS BIGINT) AS Product_Quantity,
-       l_shipdate
-FROM orders
-JOIN customer ON c_custkey = o_custkey
-LEFT JOIN lineitem ON l_orderkey = o_orderkey
-LEFT JOIN part ON p_partkey = l_partkey""",
-    # one row per order; order-level values are constant within an order
-    "v_heads": """
-SELECT DISTINCT Order_ID, Customer_ID, Customer_Name, Order_Total_Price,
-       Order_Refund_Amount, Order_Created_At, Order_Cancelled_At, Order_Referring_Site
-FROM v_orders""",
+SELECT * EXCLUDE (Order_Total_Price, Order_Referring_Site, o_orderkey, o_totalprice, o_orderpriority, line),
+       {_LINE_PRICE}, {_LINE_SITE}
+FROM (
+  SELECT {_ORDER_FACTS},
+         o_orderkey, o_totalprice, o_orderpriority, coalesce(l_linenumber, 0) AS line,
+         o_orderkey * 8 + coalesce(l_linenumber, 0) AS row_order,
+         CASE WHEN NOT (coalesce(l_linenumber, 0) = 1 AND o_orderkey % 6 = 2) THEN c_name END
+             AS Customer_Name,
+         l_partkey - (l_partkey - 1) % 4 AS Product_ID,
+         p_name AS Product_Name,
+         CAST(l_quantity AS BIGINT) AS Product_Quantity
+  FROM orders
+  JOIN customer ON c_custkey = o_custkey
+  LEFT JOIN lineitem ON l_orderkey = o_orderkey
+  LEFT JOIN part ON p_partkey = l_partkey - (l_partkey - 1) % 4)""",
+    # one row per order: its first line as it is
+    "v_first": """
+SELECT * FROM v_orders QUALIFY row_number() OVER (PARTITION BY Order_ID ORDER BY row_order) = 1""",
+    # one row per order: the first known value of each column
+    "v_known": """
+SELECT Order_ID,
+       arg_min(Customer_Name, row_order) FILTER (WHERE Customer_Name IS NOT NULL) AS Customer_Name,
+       arg_min(Order_Total_Price, row_order) FILTER (WHERE Order_Total_Price IS NOT NULL)
+           AS Order_Total_Price,
+       arg_min(Order_Created_At, row_order) FILTER (WHERE Order_Created_At IS NOT NULL)
+           AS Order_Created_At
+FROM v_orders GROUP BY Order_ID""",
     "v_customers": """
 SELECT c_custkey AS Customer_ID, n_name AS Customer_Province, r_name AS Customer_Country,
        TIMESTAMP '1995-01-01' + to_days(CAST(c_custkey % 365 AS INTEGER))
@@ -68,7 +88,8 @@ FROM part""",
 }
 
 _USES = {
-    "v_heads": ["v_orders"],
+    "v_first": ["v_orders"],
+    "v_known": ["v_orders"],
     "v_journey": ["v_keyed_events"],
     "v_published": ["v_products"],
 }
@@ -92,6 +113,8 @@ def with_tables(sql: str) -> str:
             use(table)
     ctes = ",\n".join(f"{table} AS ({TABLES[table]})" for table in used)
     body = sql.strip()
+    if not used:
+        return body
     if body.startswith("WITH "):
         return f"WITH {ctes},\n{body[len('WITH '):]}"
     return f"WITH {ctes}\n{body}"

@@ -8,7 +8,7 @@ from decimal import Decimal
 import pytest
 
 from basketry.plans import customers, journey, orders
-from basketry.sources.files import read_csv, read_parquet
+from basketry.sources.files import read_csv, read_parquet, unparsed
 
 ORDERS_CSV = '''\
 Order_Total_Price,Order_ID,Customer_Name,Order_Created_At,Order_Cancelled_At,Extra,Product_ID
@@ -29,17 +29,45 @@ def orders_csv(tmp_path):
 def test_csv_is_read_by_name_and_coerced(spark, orders_csv):
     df = read_csv(spark, "orders", orders_csv)
     got = [r.asDict() for r in df.orderBy("row_order").collect()]
-    assert [r["Order_ID"] for r in got] == [1, 1, 2, None]
+    assert [r["Order_ID"] for r in got] == ["1", "1", "2", None]
     assert [r["Order_Total_Price"] for r in got] == [None, Decimal("20.00"), Decimal("5.50"), None]
     assert got[0]["Customer_Name"] == 'Ann, the "first"'
     assert [r["Order_Created_At"] for r in got] == [
         dt.datetime(2024, 1, 5, 23, 5), dt.datetime(2024, 1, 6, 0, 5), None, None,
     ]
     assert [r["Order_Cancelled_At"] for r in got] == [None, None, "2024-02-01", None]
-    assert [r["Product_ID"] for r in got] == [7, 8, None, None]
+    assert [r["Product_ID"] for r in got] == ["7", "8", "x", None]
     assert [r["Extra"] for r in got] == ["kept", None, None, None]
 
 
+def test_text_ids_and_other_time_forms_are_kept(spark, tmp_path, one, rows):
+    path = tmp_path / "orders.csv"
+    path.write_text(
+        "Order_ID,Customer_Name,Order_Total_Price,Order_Created_At\n"
+        "#1001,Ann,5,2022/05/01 10:00\n#1002,Bob,7,05/02/2022 11:00\n"
+    )
+    df = read_csv(spark, "orders", str(path))
+    assert one(orders.total(df)) == 2
+    assert rows(customers.top_spend(df)) == [("Ann", Decimal("5.00")), ("Bob", Decimal("7.00"))]
+    assert {r.Hour_Of_Day for r in orders.by_hour(df).collect() if r.Number_Of_Orders} == {11, 12}
+    assert {r.column: r.texts for r in unparsed(spark, "orders", str(path)).collect()} == dict.fromkeys(
+        ("Order_ID", "Customer_Name", "Order_Total_Price", "Order_Created_At"), 0
+    )
+    strict = unparsed(spark, "orders", str(path), time_formats=())
+    assert {r.column: r.texts for r in strict.collect()}["Order_Created_At"] == 2
+
+
+def test_files_are_ordered_by_path_or_by_a_column(spark, tmp_path):
+    folder = tmp_path / "two files"
+    folder.mkdir()
+    for name, first in (("b.csv", 9), ("a.csv", 5)):
+        (folder / name).write_text(f"Order_ID,Customer_Name\n{first},x\n{first - 1},y\n")
+    by_file = read_csv(spark, "orders", str(folder))
+    assert [r.Order_ID for r in by_file.orderBy("row_order").collect()] == ["5", "4", "9", "8"]
+    by_column = read_csv(spark, "orders", str(folder), order="Order_ID")
+    assert [r.Order_ID for r in by_column.orderBy("row_order").collect()] == ["4", "5", "8", "9"]
+
+
 def test_queries_run_on_csv(spark, orders_csv, rows):
     df = read_csv(spark, "orders", orders_csv)
     # first line of order 1 has no price; the line without an order id has no name
@@ -90,7 +118,7 @@ def test_parquet_types_are_brought_in_line(spark, tmp_path):
         select 'x' as Customer_IP, 2.0D as session, timestamp'2024-01-06 23:30:00' as Event_Time,
                '12.5' as Time_On_Page, 'NA' as Search_Term, 1 as Extra""").write.parquet(path)
     [row] = read_parquet(spark, "journey", path).drop("row_order").collect()
-    assert tuple(row) == ("x", 2, dt.datetime(2024, 1, 6, 23, 30), 12.5, "NA", 1)
+    assert tuple(row) == ("x", 2, dt.datetime(2024, 1, 6, 23, 30), Decimal("12.500000"), "NA", 1)
 
 
 def test_files_with_other_headers_are_refused(spark, tmp_path):

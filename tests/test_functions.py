@@ -46,7 +46,6 @@ def test_calendar(spark):
     friday, saturday = at(2024, 3, 29, 23, 59), at(2024, 3, 30, 0, 0)
     times = [friday, saturday, None]
     run = lambda expression: values(spark, "timestamp_ntz", times, expression)
-    assert run(cal.weekday_weekend) == ["Weekday", "Weekend", "Weekday"]
     assert run(cal.weekday_name) == ["Friday", "Saturday", None]
     assert run(cal.hour_of_day) == [24, 1, None]
     assert run(cal.quarter) == ["2024Q1", "2024Q1", None]

@@ -114,8 +114,8 @@ def test_queries_are_stable_under_repartition(spark, sample_dir, rows):
 
 def test_sold_and_unsold_make_up_the_catalogue(spark, sample_dir):
     products = sample.products(spark, sample_dir, ("Product_ID", "Product_Published_At"))
-    options = QUERIES["prod_unsold"].table_options["orders"]
-    sold = sample.orders(spark, sample_dir, ("Product_ID",), **options).distinct()
+    sold = sample.orders(spark, sample_dir, ("Product_ID",)).distinct()
     published = products.where("Product_Published_At is not null")
     unsold = run(spark, sample_dir, "prod_unsold").count()
+    assert 0 < unsold < published.count()
     assert unsold + published.join(sold, "Product_ID", "left_semi").count() == published.count()
