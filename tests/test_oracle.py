@@ -7,8 +7,7 @@ import pytest
 import __spark_entry__ as contract
 from basketry.catalog import QUERIES
 from oracle import ORACLE_SQL
-from compare import assert_same, connect
-from conftest import SAMPLES
+from compare import SAMPLES, assert_same, connect
 
 SF_DIR = str(SAMPLES / "sf0.01")
 
