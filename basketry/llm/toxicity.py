@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from basketry.llm.common import forget, in_worker, keep
+from basketry.llm.jaccard import shingles
 
 STRIP = ".,;:!?()[]{}<>*#$%&=+|/\\_-~`^\"'“”„‘’«»…"
 QUOTES = "\"“”„«»"
@@ -44,6 +45,8 @@ REPORTING = frozenset(
 WINDOW = 5
 #: Lengths of the word beginnings that are counted.
 STEMS = range(3, 9)
+#: Minimum hashes by which copies among labelled rows are told.
+SIGNS = 4
 CACHE_SIZE = 200_000
 STATES = 20_000
 
@@ -192,6 +195,21 @@ def _scorer(terms: tuple[str, ...], worth: tuple[float, ...]) -> Scorer:
     return in_worker((terms, worth), lambda: Scorer(terms, worth))
 
 
+def _signs(text: Column) -> Column:
+    """Minimum hashes of the three-word shingles of a text; texts much alike share most."""
+
+    @F.arrow_udf("array<bigint>")
+    def signs(texts: pa.Array) -> pa.Array:
+        out = []
+        for text in texts:
+            values = shingles(text.as_py(), 3)
+            mixed = [(values * np.uint64(2 * k + 0x9E3779B97F4A7C15)).view(np.int64) for k in range(SIGNS)]
+            out.append([int(m.min()) if len(m) else 0 for m in mixed])
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return signs(text)
+
+
 def _words(text: str | None) -> set[str]:
     """Distinct words of letters, lower case."""
     return {w for w in (t.strip(STRIP) for t in set((text or "").lower().split())) if w.isalpha()}
@@ -215,23 +233,17 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def choose_terms(found: dict[str, int]) -> tuple[str, ...]:
-    """The lexicon, from significant terms and in how many toxic texts each occurs.
+def choose_terms(evidence: dict[str, float]) -> tuple[str, ...]:
+    """The lexicon, from significant terms and their evidence: the best first, and none
+    that begins another or goes on from it; stems are marked with ``*``.
 
-    Of each shortest beginning, goes on to a longer one as long as that keeps nine
-    tenths of the texts; ends in a whole word, or in a stem (``*``).
+    Of a word and its beginnings with equal evidence the whole word is taken.
     """
-    tops = [t for t in found if not any(t[:n] in found for n in STEMS if n < len(t))]
-    chosen = set()
-    for term in tops:
-        while not term.endswith("$"):
-            longer = [t for t in found if t.startswith(term) and len(t) == len(term) + 1]
-            best = max(longer, key=lambda t: (found[t], t), default=None)
-            if best is None or found[best] < 0.9 * found[term]:
-                break
-            term = best
-        chosen.add(term[:-1] if term.endswith("$") else term + "*")
-    return tuple(sorted(chosen))
+    chosen: list[str] = []
+    for term in sorted(evidence, key=lambda t: (-round(evidence[t], 6), -len(t), t)):
+        if not any(c.startswith(term) or term.startswith(c) for c in chosen):
+            chosen.append(term)
+    return tuple(sorted(t[:-1] if t.endswith("$") else t + "*" for t in chosen))
 
 
 def regress(rows: np.ndarray, labels: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> np.ndarray:
@@ -258,12 +270,13 @@ def learn(
     label_column: str,
     max_positive: int = 5_000,
     max_negative: int = 15_000,
-    max_terms: int = 2_000,
+    max_terms: int = 500,
 ) -> Model:
     """Learn from at most ``max_positive`` and ``max_negative`` labelled rows.
 
-    The rows are chosen by hash of the id, so the same ones in every run. ``labels``
-    must hold only what may be learned from.
+    The rows are chosen by hash of the id, so the same ones in every run. Of rows that are
+    much alike one is learned from: words that copies share prove nothing. ``labels`` must
+    hold only what may be learned from.
     """
     known = labels.select(F.col(id_column).cast("long").alias("doc"), F.col(label_column).cast("int").alias("toxic"))
     known = known.where("doc is not null and toxic is not null").groupBy("doc").agg(F.max("toxic").alias("toxic"))
@@ -272,8 +285,15 @@ def learn(
     sample = sample.unionAll(known.where("toxic <= 0").orderBy(order, "doc").limit(max_negative))
     texts = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text"))
     # Broadcast: at most max_positive + max_negative rows of two numbers.
-    texts = texts.join(F.broadcast(sample), "doc").select("text", (F.col("toxic") > 0).alias("toxic"))
-    texts = keep(texts, "labelled")
+    texts = texts.join(F.broadcast(sample), "doc").select("doc", "text", (F.col("toxic") > 0).alias("toxic"))
+    labelled = keep(texts.withColumn("signs", _signs(F.col("text"))), "labelled")
+    single = labelled.select("doc", "signs")
+    for k in range(SIGNS):
+        single = single.groupBy(F.col("signs")[k]).agg(F.min(F.struct("doc", "signs")).alias("row")).select("row.*")
+    # Broadcast: no more rows than the sample has.
+    texts = labelled.join(F.broadcast(single.select("doc")), "doc", "left_semi").select("text", "toxic")
+    texts = keep(texts, "distinct-labelled")
+    forget(labelled)
     total = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     positive, negative = total.get(True, 0), total.get(False, 0)
     if not positive or not negative:
@@ -290,15 +310,19 @@ def learn(
     )
     counted = keep(counted, "terms")
     # Evidence (log likelihood ratio) beyond what the best of all terms has by chance.
-    enough = math.log(max(1, counted.count())) + 1
+    enough = math.log(max(1, counted.count())) + 2
     share = F.expr("toxic / (toxic + clean)")
     evidence = F.col("toxic") * F.ln(share / base) + F.when(
         F.col("clean") > 0, F.col("clean") * F.ln((1 - share) / (1 - base))
     ).otherwise(0.0)
     kept = (
-        counted.where((share >= 0.5) & (evidence >= enough)).orderBy(evidence.desc(), "term").limit(max_terms).collect()
+        counted.where((share >= 0.33) & (evidence >= enough))
+        .select("term", "toxic", "clean", evidence.alias("evidence"))
+        .orderBy(F.desc("evidence"), "term")
+        .limit(max_terms)
+        .collect()
     )
-    terms = choose_terms({r["term"]: r["toxic"] for r in kept})
+    terms = choose_terms({r["term"]: r["evidence"] for r in kept})
     odds = {
         r["term"]: math.log((r["toxic"] + 0.5) / (r["clean"] + 0.5)) - math.log(base / (1 - base)) for r in kept
     }
