@@ -66,11 +66,6 @@ def _set_hash(values: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(values.tobytes())
 
 
-def _needed(size, percent: int):
-    """Least overlap with a set that is no larger; works on numbers and columns."""
-    return -(-percent * size // 100)
-
-
 def _probe_length(size: np.ndarray, percent: int) -> np.ndarray:
     return size + (-percent * size) // 100 + 1
 
