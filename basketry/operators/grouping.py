@@ -8,7 +8,7 @@ counts shuffle on (key, value) first, so a hot key is spread over tasks as well.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, GroupedData, functions as F
+from pyspark.sql import DataFrame, GroupedData, functions as F
 
 from basketry.functions.ratios import sum_or_zero
 from basketry.operators.filters import drop_nulls
