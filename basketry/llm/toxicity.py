@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from basketry.llm.common import forget, in_worker, keep
@@ -45,8 +46,11 @@ REPORTING = frozenset(
 WINDOW = 5
 #: Lengths of the word beginnings that are counted.
 STEMS = range(3, 9)
-#: Minimum hashes by which copies among labelled rows are told.
+#: Minimum hashes by which labelled rows that may be much alike are found, the least
+#: hashes kept to compare them, and the Jaccard similarity from which they are.
 SIGNS = 4
+SKETCH = 256
+ALIKE = 0.75
 CACHE_SIZE = 200_000
 STATES = 20_000
 
@@ -195,19 +199,77 @@ def _scorer(terms: tuple[str, ...], worth: tuple[float, ...]) -> Scorer:
     return in_worker((terms, worth), lambda: Scorer(terms, worth))
 
 
-def _signs(text: Column) -> Column:
-    """Minimum hashes of the three-word shingles of a text; texts much alike share most."""
+def _prints(text: Column) -> Column:
+    """struct<content, signs, sketch> of the three-word shingles of a text.
 
-    @F.arrow_udf("array<bigint>")
-    def signs(texts: pa.Array) -> pa.Array:
-        out = []
+    ``content`` is a hash of all of them, ``signs`` are minimum hashes, of which texts much
+    alike share most, ``sketch`` holds the :data:`SKETCH` least, by their upper 32 bits.
+    """
+
+    @F.arrow_udf("struct<content: bigint, signs: array<bigint>, sketch: binary>")
+    def prints(texts: pa.Array) -> pa.Array:
+        contents, signs, sketches = [], [], []
         for text in texts:
             values = shingles(text.as_py(), 3)
             mixed = [(values * np.uint64(2 * k + 0x9E3779B97F4A7C15)).view(np.int64) for k in range(SIGNS)]
-            out.append([int(m.min()) if len(m) else 0 for m in mixed])
-        return pa.array(out, pa.list_(pa.int64()))
+            contents.append(xxhash.xxh3_64_intdigest(values.tobytes()) - 2**63)
+            signs.append([int(m.min()) if len(m) else 0 for m in mixed])
+            sketches.append((values[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes())
+        return pa.StructArray.from_arrays(
+            [pa.array(contents, pa.int64()), pa.array(signs, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+            names=["content", "signs", "sketch"],
+        )
+
+    return prints(text)
+
 
-    return signs(text)
+def alike(one: bytes, other: bytes) -> float:
+    """Jaccard similarity of two sets by their sketches; exact for at most ``SKETCH`` values."""
+    a, b = np.frombuffer(one, "<u4"), np.frombuffer(other, "<u4")
+    both = np.union1d(a, b)
+    if max(len(a), len(b)) == SKETCH:
+        both = both[:SKETCH]
+    shared = np.intersect1d(a, b)
+    return np.isin(both, shared).sum() / len(both) if len(both) else 1.0
+
+
+def _alike(one: Column, other: Column) -> Column:
+    @F.arrow_udf("double")
+    def similarity(ones: pa.Array, others: pa.Array) -> pa.Array:
+        return pa.array([float(alike(a.as_py(), b.as_py())) for a, b in zip(ones, others)], pa.float64())
+
+    return similarity(one, other)
+
+
+def distinct_rows(labelled: DataFrame) -> DataFrame:
+    """(doc, content, toxic): the rows of (doc, text, toxic) without those much like a row that stays.
+
+    A row goes only if a row of the same label with a smaller id stays whose shingles are
+    the same, or have a Jaccard similarity of at least ``ALIKE``. Compared are rows that
+    share a minimum hash, each with the first of them only.
+    """
+    rows = labelled.select("doc", "toxic", _prints(F.col("text")).alias("p")).select("doc", "toxic", "p.*")
+    rows = rows.groupBy("toxic", "content").agg(
+        F.min("doc").alias("doc"), F.any_value("signs").alias("signs"), F.any_value("sketch").alias("sketch")
+    )
+    rows = keep(rows, "labelled")
+    signed = rows.select("toxic", "content", "doc", F.posexplode("signs").alias("place", "sign"))
+    group = ["toxic", "place", "sign"]
+    first = signed.groupBy(*group).agg(F.count("*").alias("n"), F.min(F.struct("doc", "content")).alias("first"))
+    first = keep(first.where("n > 1").select(*group, F.col("first.content").alias("other")), "labelled-first")
+    pairs = signed.join(first, group).where("content <> other").select("toxic", "content", "other").distinct()
+    others = rows.select("toxic", F.col("content").alias("other"), F.col("sketch").alias("other_sketch"))
+    pairs = pairs.join(rows.select("toxic", "content", "sketch"), ["toxic", "content"])
+    pairs = pairs.join(others, ["toxic", "other"])
+    pairs = pairs.where(_alike(F.col("sketch"), F.col("other_sketch")) >= ALIKE)
+    pairs = keep(pairs.select("toxic", "content", "other"), "labelled-alike")
+    # Only against rows that stay: those that are like no earlier row.
+    later = pairs.select("toxic", F.col("content").alias("other"))
+    gone = pairs.join(later, ["toxic", "other"], "left_anti").select("toxic", "content").distinct()
+    stay = keep(rows.join(gone, ["toxic", "content"], "left_anti").select("doc", "content", "toxic"), "labelled-distinct")
+    for table in (rows, first, pairs):
+        forget(table)
+    return stay
 
 
 def _words(text: str | None) -> set[str]:
@@ -274,26 +336,22 @@ def learn(
 ) -> Model:
     """Learn from at most ``max_positive`` and ``max_negative`` labelled rows.
 
-    The rows are chosen by hash of the id, so the same ones in every run. Of rows that are
-    much alike one is learned from: words that copies share prove nothing. ``labels`` must
-    hold only what may be learned from.
+    The rows are chosen by hash of the id, so the same ones in every run. Rows of one label
+    that are much alike count once (see :func:`distinct_rows`), before the choice: words
+    that copies share prove nothing. ``labels`` must hold only what may be learned from.
     """
     known = labels.select(F.col(id_column).cast("long").alias("doc"), F.col(label_column).cast("int").alias("toxic"))
     known = known.where("doc is not null and toxic is not null").groupBy("doc").agg(F.max("toxic").alias("toxic"))
-    order = F.xxhash64("doc")
-    sample = known.where("toxic > 0").orderBy(order, "doc").limit(max_positive)
-    sample = sample.unionAll(known.where("toxic <= 0").orderBy(order, "doc").limit(max_negative))
+    known = known.select("doc", (F.col("toxic") > 0).alias("toxic"))
     texts = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text"))
-    # Broadcast: at most max_positive + max_negative rows of two numbers.
-    texts = texts.join(F.broadcast(sample), "doc").select("doc", "text", (F.col("toxic") > 0).alias("toxic"))
-    labelled = keep(texts.withColumn("signs", _signs(F.col("text"))), "labelled")
-    single = labelled.select("doc", "signs")
-    for k in range(SIGNS):
-        single = single.groupBy(F.col("signs")[k]).agg(F.min(F.struct("doc", "signs")).alias("row")).select("row.*")
-    # Broadcast: no more rows than the sample has.
-    texts = labelled.join(F.broadcast(single.select("doc")), "doc", "left_semi").select("text", "toxic")
-    texts = keep(texts, "distinct-labelled")
-    forget(labelled)
+    single = distinct_rows(texts.join(known, "doc"))
+    order = [F.xxhash64("doc"), "doc", "content"]
+    sample = single.where("toxic").orderBy(*order).limit(max_positive)
+    sample = sample.unionAll(single.where("not toxic").orderBy(*order).limit(max_negative))
+    # Broadcast: at most max_positive + max_negative rows of two numbers and a label.
+    texts = texts.join(F.broadcast(sample), "doc").where(_prints(F.col("text"))["content"] == F.col("content"))
+    texts = keep(texts.select("text", "toxic"), "distinct-labelled")
+    forget(single)
     total = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     positive, negative = total.get(True, 0), total.get(False, 0)
     if not positive or not negative:

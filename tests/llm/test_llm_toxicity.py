@@ -97,3 +97,42 @@ def test_query_on_the_held_out_fold(spark, sample_dir):
     assert all(r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for r in rows.values())
     labels = [r for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if rows[r.doc_id].held_out]
     assert sum(rows[r.doc_id].predicted == r.toxic for r in labels) >= 0.9 * len(labels)
+
+
+def test_rows_that_share_a_passage_are_all_learned_from(spark, documents):
+    passage = " ".join(f"passage{chr(97 + i)}" for i in range(20))
+    draw, texts = random.Random(7), []
+    for i in range(160):
+        own = ["".join(draw.choice("bcdfgklmnp") + draw.choice("aeiou") for _ in range(3)) for _ in range(30)]
+        if i >= 120:
+            own[draw.randrange(30)] = "rotter"
+        texts.append(f"{passage} {' '.join(own)}")
+    labels = spark.createDataFrame([(i + 1, int(i >= 120)) for i in range(160)], "doc_id long, toxic int")
+    assert toxicity.learn(documents(*texts), labels, "doc_id", "text", "toxic").terms == ("rotter",)
+
+
+def test_rows_go_only_for_one_of_their_label_that_is_much_alike(spark):
+    text = [f"w{i}" for i in range(400)]
+
+    def changed(count):
+        return " ".join(text[: 400 - count] + [f"x{count}y{i}" for i in range(count)])
+
+    rows = [
+        (1, changed(0), False),
+        (2, changed(0), False),  # a copy
+        (3, changed(0), True),  # the other label
+        (4, changed(30), False),  # similarity 0.86 with 1
+        (5, changed(200), False),  # a shared passage: 0.33
+        (6, changed(190), False),  # 0.36 with 1
+    ]
+    rows = spark.createDataFrame(rows, "doc long, text string, toxic boolean")
+    assert {r.doc for r in toxicity.distinct_rows(rows).collect()} == {1, 3, 5, 6}
+
+
+def test_copies_do_not_displace_others_from_the_sample(spark, documents):
+    texts = ["a rotter " * 5] * 30 + [f"vile{c} words" for c in "abcdefgh"]
+    texts += [f"plain {a}{b}" for a in "abcdefghij" for b in "abcdefghij"]
+    labels = spark.createDataFrame([(i + 1, int(i < 38)) for i in range(138)], "doc_id long, toxic int")
+    docs = documents(*texts)
+    model = toxicity.learn(docs, labels, "doc_id", "text", "toxic", max_positive=9)
+    assert "vile*" in model.terms
