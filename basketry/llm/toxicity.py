@@ -301,10 +301,13 @@ def choose_terms(evidence: dict[str, float]) -> tuple[str, ...]:
 
     Of a word and its beginnings with equal evidence the whole word is taken.
     """
-    chosen: list[str] = []
+    chosen: set[str] = set()
+    begun: set[str] = set()  # beginnings of the chosen
     for term in sorted(evidence, key=lambda t: (-round(evidence[t], 6), -len(t), t)):
-        if not any(c.startswith(term) or term.startswith(c) for c in chosen):
-            chosen.append(term)
+        own = {term[:n] for n in range(1, len(term) + 1)}
+        if term not in begun and own.isdisjoint(chosen):
+            chosen.add(term)
+            begun |= own
     return tuple(sorted(t[:-1] if t.endswith("$") else t + "*" for t in chosen))
 
 
@@ -332,7 +335,6 @@ def learn(
     label_column: str,
     max_positive: int = 5_000,
     max_negative: int = 15_000,
-    max_terms: int = 500,
 ) -> Model:
     """Learn from at most ``max_positive`` and ``max_negative`` labelled rows.
 
@@ -376,9 +378,7 @@ def learn(
     kept = (
         counted.where((share >= 0.33) & (evidence >= enough))
         .select("term", "toxic", "clean", evidence.alias("evidence"))
-        .orderBy(F.desc("evidence"), "term")
-        .limit(max_terms)
-        .collect()
+        .collect()  # of words in at most max_positive texts
     )
     terms = choose_terms({r["term"]: r["evidence"] for r in kept})
     odds = {

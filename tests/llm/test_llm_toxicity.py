@@ -136,3 +136,15 @@ def test_copies_do_not_displace_others_from_the_sample(spark, documents):
     docs = documents(*texts)
     model = toxicity.learn(docs, labels, "doc_id", "text", "toxic", max_positive=9)
     assert "vile*" in model.terms
+
+
+def test_all_significant_terms_are_learned(spark, documents):
+    """More beginnings of words than were once kept: 100 words of eight letters, no two alike."""
+    letters = "bcdfghklmn"
+    bad = [f"{a}{b}a{b}{a}o{b}{a}" for a in letters for b in letters]
+    draw = random.Random(3)
+    texts = [" ".join(draw.sample(bad, 10)) for _ in range(400)] + [f"plain{i}" for i in range(2000)]
+    labels = spark.createDataFrame([(i + 1, int(i < 400)) for i in range(2400)], "doc_id long, toxic int")
+    model = toxicity.learn(documents(*texts), labels, "doc_id", "text", "toxic")
+    scorer = toxicity.Scorer(model.terms, model.worth)
+    assert all(scorer.features(word)[1] for word in bad)
