@@ -12,12 +12,16 @@ sequences of decreasing powers of two for its rest, so nothing is padded at all.
 No shuffle is needed and memory is bounded by a window and the longest document.
 Sequence ids hold the partition's number, so a task that runs again gives the same.
 
+Added tokens of the tokenizer's file that stand in a text get their ids, as by the
+library's default, where that is asked for; otherwise they are ordinary text.
+
 Null or empty texts hold the end token alone. Repeated rows are packed like others,
 null ids stay null. An empty table gives no pieces.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +37,15 @@ from basketry.llm.pieces import PieceEncoder
 
 
 class _Pieces(PieceEncoder):
-    def __init__(self, tokenizer_file: str, pattern: str):
+    def __init__(self, tokenizer_file: str, pattern: str, added_tokens: bool):
         super().__init__(pattern)
         self.tokenizer = Tokenizer.from_str(tokenizer_file)
+        added = self.tokenizer.get_added_tokens_decoder() if added_tokens else {}
+        self.added = {token.content: number for number, token in added.items() if token.content}
+        #: Tokens that also look at what is around them are left to the library.
+        self.bare = not any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added.values())
+        longest = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(map(re.escape, longest))})") if longest else None
         # What the byte-level pre-tokenizer makes of each byte, without its own splitting.
         alphabet = ByteLevel(add_prefix_space=False, use_regex=False)
         plain = [byte for byte in range(128)]
@@ -46,20 +56,40 @@ class _Pieces(PieceEncoder):
         self.shown = str.maketrans(shown)
 
     def encode_match(self, match: str) -> list[int]:
-        """The tokenizer's model on one match; special tokens in a text are ordinary text."""
+        """The tokenizer's model on one match; added tokens in it are ordinary text."""
         shown = match.encode().decode("latin-1").translate(self.shown)
         return [token.id for token in self.tokenizer.model.tokenize(shown)]
 
-
-def _pieces(tokenizer_file: str, pattern: str) -> _Pieces:
-    return in_worker((tokenizer_file, pattern), lambda: _Pieces(tokenizer_file, pattern))
-
-
-def tokenize(spark: SparkSession, text: Column, path: str, pattern: str, end_id: int) -> Column:
+    def encode_all(self, text: str) -> bytes:
+        """Ids of a text and of the added tokens in it."""
+        if self.cut is None or not self.cut.search(text):
+            return self.encode(text)
+        if not self.bare:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        parts = []
+        for number, part in enumerate(self.cut.split(text)):
+            if number % 2:
+                parts.append(np.array([self.added[part]], "<u4").tobytes())
+            elif part:
+                parts.append(self.encode(part))
+        return b"".join(parts)
+
+
+def _pieces(tokenizer_file: str, pattern: str, added_tokens: bool) -> _Pieces:
+    return in_worker(
+        (tokenizer_file, pattern, added_tokens), lambda: _Pieces(tokenizer_file, pattern, added_tokens)
+    )
+
+
+def tokenize(
+    spark: SparkSession, text: Column, path: str, pattern: str, end_id: int, added_tokens: bool = False
+) -> Column:
     """Ids of a text and the end token as binary: little-endian unsigned 32-bit numbers.
 
     ``path`` is a file of the tokenizers library (bounded, some MB), ``pattern`` the
-    pattern by which that tokenizer cuts texts before merging.
+    pattern by which that tokenizer cuts texts before merging. With ``added_tokens`` the
+    added tokens of that file get their ids where a text holds them, as by the library's
+    default; without, they are ordinary text.
     """
     with open(path, encoding="utf-8") as file:
         tokenizer = spark.sparkContext.broadcast(file.read())
@@ -67,7 +97,7 @@ def tokenize(spark: SparkSession, text: Column, path: str, pattern: str, end_id:
 
     @F.arrow_udf("binary")
     def ids(texts: pa.Array) -> pa.Array:
-        encode = _pieces(tokenizer.value, pattern).encode
+        encode = _pieces(tokenizer.value, pattern, added_tokens).encode_all
         return pa.array([encode(t) + end if t else end for t in texts.to_pylist()], pa.binary())
 
     return ids(text)

@@ -58,7 +58,9 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Pieces of tokenised documents in sequences of 2048, with the checksum of their ids."""
-    ids = packing.tokenize(spark, F.col("text"), TOKENIZER, public_tokenizers.PATTERN, end_id=1)
+    ids = packing.tokenize(
+        spark, F.col("text"), TOKENIZER, public_tokenizers.PATTERN, end_id=1, added_tokens=True
+    )
     pieces = packing.pack(docs.select("doc_id", ids.alias("ids")), "doc_id", "ids", size=2048)
     return pieces.select(
         "doc_id",

@@ -77,3 +77,23 @@ def test_costs_are_balanced():
     for _, _, length, sequence, _ in placed:
         cost[sequence] += packer.cost(length)
     assert max(cost.values()) < 1.4 * min(cost.values())
+
+
+def test_added_tokens_get_their_ids_as_by_default(spark, documents):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n y <|endoftext", "no token"]
+    default = Tokenizer.from_file(queries.TOKENIZER)
+    assert default.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    check(queries.packed(spark, documents(*texts)).collect(), dict(enumerate(texts, 1)), default)
+
+
+def test_added_tokens_that_take_in_spaces_are_as_the_library_has_them():
+    import json
+
+    with open(queries.TOKENIZER, encoding="utf-8") as file:
+        form = json.load(file)
+    form["added_tokens"][0] |= {"lstrip": True, "single_word": True}
+    form = json.dumps(form)
+    own, default = packing._Pieces(form, public_tokenizers.PATTERN, True), Tokenizer.from_str(form)
+    for text in ("a  <|endoftext|> b", "a<|endoftext|>b", " <|endoftext|>", "plain"):
+        ids = default.encode(text, add_special_tokens=False).ids
+        assert own.encode_all(text) == struct.pack(f"<{len(ids)}I", *ids)
