@@ -56,13 +56,13 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def packed(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Pieces of tokenised documents in sequences of 2048, with the checksum of their ids."""
+def pieces(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Pieces of tokenised documents in sequences of 2048, with their ids and the checksum of these."""
     ids = packing.tokenize(
         spark, F.col("text"), TOKENIZER, public_tokenizers.PATTERN, end_id=1, added_tokens=True
     )
-    pieces = packing.pack(docs.select("doc_id", ids.alias("ids")), "doc_id", "ids", size=2048)
-    return pieces.select(
+    placed = packing.pack(docs.select("doc_id", ids.alias("ids")), "doc_id", "ids", size=2048)
+    return placed.select(
         "doc_id",
         "start",
         "length",
@@ -70,9 +70,15 @@ def packed(spark: SparkSession, docs: DataFrame) -> DataFrame:
         "doc_tokens",
         "sequence_id",
         "offset",
+        "ids",
     )
 
 
+def packed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The pieces with the checksum of their ids alone."""
+    return pieces(spark, docs).drop("ids")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut and packed."""
     return packed(spark, table(spark, sf_dir, "documents"))

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import zlib
+
 import pytest
 
 import corpus_pipeline
@@ -49,6 +51,11 @@ def test_columns(stages):
         assert rows[0].asDict().keys() == stages[0][0].asDict().keys()
 
 
+def test_pieces_hold_their_ids(stages):
+    for r in stages[-1]:
+        assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
+
+
 def test_run_gives_what_the_stages_give(spark, sample_dir, stages):
     got = corpus_pipeline.run(spark, sample_dir).groupBy("doc_id").agg({"length": "sum"}).collect()
     want = {}
