@@ -49,7 +49,7 @@ STEMS = range(3, 9)
 #: Minimum hashes by which labelled rows that may be much alike are found, the least
 #: hashes kept to compare them, and the Jaccard similarity from which they are.
 SIGNS = 4
-SKETCH = 256
+SKETCH = 128
 ALIKE = 0.75
 CACHE_SIZE = 200_000
 STATES = 20_000
@@ -241,14 +241,16 @@ def _alike(one: Column, other: Column) -> Column:
     return similarity(one, other)
 
 
-def distinct_rows(labelled: DataFrame) -> DataFrame:
-    """(doc, content, toxic): the rows of (doc, text, toxic) without those much like a row that stays.
+def distinct_rows(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc, content, toxic): rows of (doc, text) with a label of (doc, toxic), without those
+    much like a row that stays.
 
     A row goes only if a row of the same label with a smaller id stays whose shingles are
     the same, or have a Jaccard similarity of at least ``ALIKE``. Compared are rows that
     share a minimum hash, each with the first of them only.
     """
-    rows = labelled.select("doc", "toxic", _prints(F.col("text")).alias("p")).select("doc", "toxic", "p.*")
+    # Before the join, so that no texts are shuffled.
+    rows = texts.select("doc", _prints(F.col("text")).alias("p")).select("doc", "p.*").join(known, "doc")
     rows = rows.groupBy("toxic", "content").agg(
         F.min("doc").alias("doc"), F.any_value("signs").alias("signs"), F.any_value("sketch").alias("sketch")
     )
@@ -346,7 +348,7 @@ def learn(
     known = known.where("doc is not null and toxic is not null").groupBy("doc").agg(F.max("toxic").alias("toxic"))
     known = known.select("doc", (F.col("toxic") > 0).alias("toxic"))
     texts = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text"))
-    single = distinct_rows(texts.join(known, "doc"))
+    single = distinct_rows(texts, known)
     order = [F.xxhash64("doc"), "doc", "content"]
     sample = single.where("toxic").orderBy(*order).limit(max_positive)
     sample = sample.unionAll(single.where("not toxic").orderBy(*order).limit(max_negative))

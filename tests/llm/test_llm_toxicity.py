@@ -126,7 +126,7 @@ def test_rows_go_only_for_one_of_their_label_that_is_much_alike(spark):
         (6, changed(190), False),  # 0.36 with 1
     ]
     rows = spark.createDataFrame(rows, "doc long, text string, toxic boolean")
-    assert {r.doc for r in toxicity.distinct_rows(rows).collect()} == {1, 3, 5, 6}
+    assert {r.doc for r in toxicity.distinct_rows(rows.select("doc", "text"), rows.select("doc", "toxic")).collect()} == {1, 3, 5, 6}
 
 
 def test_copies_do_not_displace_others_from_the_sample(spark, documents):
