@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from basketry.llm import bpe, jaccard, line_dedup, near_dedup, packing, pii, topk, toxicity, url_filter, warc
+from basketry.llm import bpe, jaccard, line_dedup, near_dedup, packing, pii, product_codes, topk, toxicity, url_filter, warc
 from basketry.llm import sql
 from basketry.llm.common import prepare
 
@@ -150,6 +150,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's four-byte code, and what is lost by it."""
+    vectors = table(spark, sf_dir, "embeddings")
+    done = product_codes.encode(vectors, "vec_id", "embedding", "label", parts=4, entries=256, rounds=4)
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return done.select("row.vec_id", code.alias("code"), "error", "label_error", "codebooks_sha256")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_jaccard": op2_jaccard,
@@ -161,10 +169,12 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_near_dedup": op9_near_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_codes": op11_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_topk": sql.TOP_K,
     "op9_near_dedup": sql.NEAR_DEDUP,
     "op10_line_dedup": sql.LINE_DEDUP,
+    "op11_codes": sql.PRODUCT_CODES,
 }

@@ -62,3 +62,51 @@ WITH RECURSIVE usable AS (
 SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings JOIN least ON node = vec_id LEFT JOIN counted ON a = vec_id
 """
+
+def _product_codes(rounds: int = 4, entries: int = 256) -> str:
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+, code{k} AS MATERIALIZED (
+    SELECT part.vec_id, part.part, min({{'away': CAST(list_sum([(x - book.v[i]) * (x - book.v[i]) FOR x, i IN part.v]) AS BIGINT),
+                                         'entry': book.entry}}) AS best
+    FROM part JOIN book{k} AS book USING (part) GROUP BY part.vec_id, part.part
+)""")
+        if k < rounds:
+            steps.append(f"""
+, mean{k} AS (
+    SELECT part, entry, list(CAST(mean AS BIGINT) ORDER BY place) AS v
+    FROM (SELECT part, best.entry AS entry, place, floor(sum(v[place]) / count(*)) AS mean
+          FROM part JOIN code{k} USING (vec_id, part), unnest(range(1, len(v) + 1)) AS u(place)
+          GROUP BY part, best.entry, place)
+    GROUP BY part, entry
+), book{k + 1} AS MATERIALIZED (
+    SELECT part, entry, coalesce(mean{k}.v, book{k}.v) AS v FROM book{k} LEFT JOIN mean{k} USING (part, entry)
+)""")
+    return f"""
+WITH whole AS MATERIALIZED (
+    SELECT vec_id, label, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), part AS MATERIALIZED (
+    SELECT vec_id, part, v[part * (len(v) // 4) + 1 : (part + 1) * (len(v) // 4)] AS v
+    FROM whole, range(4) AS p(part)
+), book0 AS MATERIALIZED (
+    SELECT part, entry, v
+    FROM part JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM whole) USING (vec_id)
+    WHERE entry < {entries}
+){"".join(steps)}
+, done AS (
+    SELECT vec_id, string_agg(lower(printf('%02x', best.entry)), '' ORDER BY part) AS code,
+           CAST(sum(best.away) AS BIGINT) AS error
+    FROM code{rounds} GROUP BY vec_id
+), said AS (
+    SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book{rounds}
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM done JOIN whole USING (vec_id), said
+"""
+
+
+PRODUCT_CODES = _product_codes()
