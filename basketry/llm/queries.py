@@ -5,7 +5,20 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from basketry.llm import bpe, jaccard, line_dedup, near_dedup, packing, pii, product_codes, topk, toxicity, url_filter, warc
+from basketry.llm import (
+    bpe,
+    conversations,
+    jaccard,
+    line_dedup,
+    near_dedup,
+    packing,
+    pii,
+    product_codes,
+    topk,
+    toxicity,
+    url_filter,
+    warc,
+)
 from basketry.llm import sql
 from basketry.llm.common import prepare
 
@@ -158,6 +171,23 @@ def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("row.vec_id", code.alias("code"), "error", "label_error", "codebooks_sha256")
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation damaged, then repaired."""
+    turns = table(spark, sf_dir, "conversations")
+    names = ["conv_id", "turn", "role", "text"]
+    damaged = conversations.damage(turns, *names)
+    done = conversations.repair(damaged, "conversation", "turn", "role", "text").summary
+    every = turns.select("conv_id").distinct()
+    joined = every.join(done, F.col("conv_id").eqNullSafe(F.col("conversation")), "left")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return joined.select(
+        "conv_id",
+        *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("digest", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_jaccard": op2_jaccard,
@@ -170,6 +200,7 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_line_dedup": op10_line_dedup,
     "op11_codes": op11_codes,
+    "op13_conversations": op13_conversations,
 }
 
 ORACLE_SQL: dict[str, str] = {
