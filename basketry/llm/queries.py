@@ -14,6 +14,7 @@ from basketry.llm import (
     packing,
     pii,
     product_codes,
+    suffix_dedup,
     topk,
     toxicity,
     url_filter,
@@ -171,6 +172,12 @@ def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("row.vec_id", code.alias("code"), "error", "label_error", "codebooks_sha256")
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 100-byte strings that start earlier too."""
+    done = suffix_dedup.dedup_passages(table(spark, sf_dir, "documents"), "doc_id", "text", length=100)
+    return done.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation damaged, then repaired."""
     turns = table(spark, sf_dir, "conversations")
@@ -200,6 +207,7 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_line_dedup": op10_line_dedup,
     "op11_codes": op11_codes,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_conversations": op13_conversations,
 }
 
@@ -208,4 +216,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_near_dedup": sql.NEAR_DEDUP,
     "op10_line_dedup": sql.LINE_DEDUP,
     "op11_codes": sql.PRODUCT_CODES,
+    "op12_suffix_dedup": sql.SUFFIX_DEDUP,
 }

@@ -110,3 +110,30 @@ FROM done JOIN whole USING (vec_id), said
 
 
 PRODUCT_CODES = _product_codes()
+
+SUFFIX_DEDUP = """
+WITH doc AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS bytes FROM documents
+), string AS MATERIALIZED (
+    SELECT doc_id, p, md5(substr(bytes, 2 * p + 1, 200)) AS said
+    FROM (SELECT doc_id, bytes, unnest(range(length(bytes) // 2 - 99)) AS p FROM doc)
+), first AS (
+    SELECT said, min({'doc': doc_id, 'p': p}) AS place FROM string GROUP BY said HAVING count(*) > 1
+), repeated AS (
+    SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100, true) AS begins
+    FROM string JOIN first USING (said) WHERE place <> {'doc': doc_id, 'p': p}
+), numbered AS (
+    SELECT doc_id, p, sum(CAST(begins AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM repeated
+), span AS (
+    SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM numbered GROUP BY doc_id, run
+), ahead AS (
+    SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b, b - a AS gone FROM span
+    UNION ALL
+    SELECT doc_id, coalesce(max(span.b), 0), length(any_value(bytes)) // 2, NULL
+    FROM doc LEFT JOIN span USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, any_value(length(bytes) // 2) AS n_bytes, CAST(coalesce(sum(gone), 0) AS BIGINT) AS n_removed,
+       count(gone) AS n_spans,
+       sha256(unhex(string_agg(substr(bytes, 2 * a + 1, 2 * (b - a)), '' ORDER BY a))) AS kept_sha256
+FROM ahead JOIN doc USING (doc_id) GROUP BY doc_id
+"""
