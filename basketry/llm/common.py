@@ -80,6 +80,15 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of finished steps now.
+
+    It deletes them when the driver's collector finds that nothing refers to them, and
+    collects by itself every half hour only (``spark.cleaner.periodicGC.interval``).
+    """
+    spark._jvm.System.gc()
+
+
 _in_worker: dict = {}
 
 

@@ -9,8 +9,9 @@ strings are found by sorting suffixes, but only where a string can repeat at all
 2. Strings that follow each other with one anchor make a context. Contexts go to groups by
    the bytes that all of their strings share at their place of the anchor. Contexts that are
    equal are one, of which the first place is remembered; all other places repeat.
-3. Groups are gathered to texts of some ten thousand bytes; the suffix array of such a
-   text puts equal strings side by side. The first of them stays, the others repeat.
+3. Groups are gathered to texts of some ten thousand symbols, in which one symbol stands for
+   the bytes a group shares; the suffix array of such a text puts equal strings side by
+   side. The first of them stays, the others repeat.
 4. A group too large for that is split by more of the anchor's surroundings, if need be up
    to whole strings, of which equal ones are one already. So no task takes an unbounded
    group, and none is skipped.
@@ -35,15 +36,16 @@ is handed on as a struct. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from basketry.llm.common import forget, keep
+from basketry.llm.common import collect_garbage, forget, keep
 
-#: Bytes of contexts sorted together, and the most a group may have before it is split.
+#: Symbols sorted together, and the most bytes a group may have before it is split.
 SHARD_BYTES = 64 * 1024
 _BITS = 20
 _ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -131,26 +133,41 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     return np.array(result)
 
 
-def first_places(contexts: list[bytes], orders: list[tuple[int, int]], length: int) -> list[tuple[int, int, int]]:
+class Context(NamedTuple):
+    """Strings that follow each other: ``width + 1`` of them, with ``low`` to ``high`` bytes
+    before their anchor, as the bytes before and after those that all of them share.
+    """
+
+    low: int
+    high: int
+    left: bytes
+    right: bytes
+    width: int
+
+
+def first_places(
+    contexts: list[Context], groups: list[int], orders: list[tuple[int, int]]
+) -> list[tuple[int, int, int]]:
     """(context, first, last): strings of the contexts that no earlier place holds, as runs.
 
-    ``orders`` has for each context what its strings are ordered by: document and place.
+    All contexts have the same bounds. ``groups`` tells which share the bytes between their
+    sides, ``orders`` what their strings are ordered by: document and place.
     """
-    sizes = np.array([len(c) for c in contexts])
+    length = contexts[0].high - contexts[0].low + 1  # of a string, with its shared bytes as one symbol
+    sizes = np.array([len(c.left) + 1 + len(c.right) for c in contexts])
     begins = np.r_[0, np.cumsum(sizes + 1)]
-    text = np.zeros(begins[-1] + 1, np.int64)
-    for begin, context in zip(begins, contexts):
-        part = np.frombuffer(context, np.uint8)
-        text[begin : begin + len(part)] = part
-        text[begin : begin + len(part)] += 2
-        text[begin + len(part)] = 1
-    sorted_ = suffix_array(text)
-    owner = np.searchsorted(begins, sorted_, side="right") - 1
-    owner = np.minimum(owner, len(contexts) - 1)
-    offset = sorted_ - begins[owner]
-    whole = offset + length <= sizes[owner]
-    at, owner, offset = sorted_[whole], owner[whole], offset[whole]
-    strings = np.lib.stride_tricks.sliding_window_view(text.astype(np.uint16), length)[at]
+    whole = b"".join(b"%s\0%s\0" % (c.left, c.right) for c in contexts)
+    text = np.r_[np.frombuffer(whole, np.uint8).astype(np.int64) + 2, 0]
+    text[begins[1:] - 1] = 1
+    lefts = np.array([len(c.left) for c in contexts])
+    text[begins[:-1] + lefts] = 258 + np.array(groups)
+    at = suffix_array(text)
+    owner = np.minimum(np.searchsorted(begins, at, side="right") - 1, len(contexts) - 1)
+    offset = at - begins[owner]
+    string = offset <= np.array([c.width for c in contexts])[owner]
+    string &= at < begins[-1]
+    at, owner, offset = at[string], owner[string], offset[string]
+    strings = np.lib.stride_tricks.sliding_window_view(text.astype(np.int32), length)[at]
     kind = np.cumsum(np.r_[False, (strings[1:] != strings[:-1]).any(1)])
     document, place = np.array(orders, np.int64)[owner].T
     ranked = np.lexsort((place + offset, document, kind))
@@ -213,62 +230,65 @@ def _runs(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
     return text, string[head] - begins[text], string[tail] - begins[text], place[head] - string[head], value[head]
 
 
-def _cut(
-    context: bytes, at_anchor: int, width: int, low: int, high: int, length: int
-) -> tuple[int, int, bytes, bytes, bytes] | None:
-    """The strings of a context with ``low`` to ``high`` bytes before the anchor.
-
-    (first string, width, bytes, key, digest); the key hashes the bytes all such strings share.
-    """
-    first, last = max(0, at_anchor - high), min(width, at_anchor - low)
-    if first > last:
-        return None
-    part = context[first : last + length]
-    shared = context[at_anchor - low : at_anchor + length - high]
-    kind = b"%d,%d," % (low, high)
-    key = xxhash.xxh3_128_digest(kind + shared)
-    return first, last - first, part, key, xxhash.xxh3_128_digest(b"%s%d," % (kind, at_anchor - first) + part)
-
-
-_CONTEXT = (
-    "key0 long, key1 long, digest0 long, digest1 long, low int, high int, at_anchor int, width int,"
-    " at long, start long, context binary"
-)
-_SAME = ["key0", "key1", "digest0", "digest1", "low", "high", "at_anchor", "width"]
+_CONTEXT = "key0 long, key1 long, shape long, sides binary, at long, start long"
 
 
-class _Contexts:
+class _Found:
     """Rows of contexts, each once with its first place."""
 
     def __init__(self):
-        self.rows: dict[bytes, tuple] = {}
+        self.rows: dict[tuple, tuple] = {}
         self.size = 0
 
-    def add(self, at: int, start: int, context: bytes, at_anchor: int, width: int, low: int, high: int, length: int):
-        if cut := _cut(context, at_anchor, width, low, high, length):
-            first, width, part, key, digest = cut
-            row = (at, start + first, part, key, low, high, at_anchor - first, width)
-            known = self.rows.get(digest)
-            if known is None:
-                self.size += len(part)
-            if known is None or row[:2] < known[:2]:
-                self.rows[digest] = row
+    def add(self, key: bytes, context: Context, at: int, start: int) -> None:
+        low, high, left, right, width = context
+        shape = low << 24 | high << 16 | len(left) << 8 | width
+        of = (key, shape, left + right)
+        known = self.rows.get(of)
+        if known is None:
+            self.size += len(left) + len(right) + 200
+            self.rows[of] = (at, start)
+        elif (at, start) < known:
+            self.rows[of] = (at, start)
 
     def flush(self) -> pa.RecordBatch:
-        digest = np.frombuffer(b"".join(self.rows), "<i8").reshape(-1, 2)
-        at, start, part, key, low, high, at_anchor, width = zip(*self.rows.values())
-        key = np.frombuffer(b"".join(key), "<i8").reshape(-1, 2)
+        key, shape, sides = zip(*self.rows)
+        at, start = zip(*self.rows.values())
         self.rows, self.size = {}, 0
-        columns = [key[:, 0], key[:, 1], digest[:, 0], digest[:, 1]]
-        columns = [pa.array(np.ascontiguousarray(c)) for c in columns]
-        columns += [pa.array(c, pa.int32()) for c in (low, high, at_anchor, width)]
-        columns += [pa.array(at, pa.int64()), pa.array(start, pa.int64()), pa.array(part, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _CONTEXT.split(", ")])
+        key = np.frombuffer(b"".join(key), "<i8").reshape(-1, 2).T.copy()
+        columns = [pa.array(c, pa.int64()) for c in (*key, shape)] + [pa.array(sides, pa.binary())]
+        columns += [pa.array(c, pa.int64()) for c in (at, start)]
+        return pa.RecordBatch.from_arrays(columns, names=["key0", "key1", "shape", "sides", "at", "start"])
+
+
+def _context(shape: int, sides: bytes) -> Context:
+    left = shape >> 8 & 255
+    return Context(shape >> 24, shape >> 16 & 255, sides[:left], sides[left:], shape & 255)
+
+
+def _narrowed(context: Context, key: bytes, low: int, high: int) -> tuple[int, bytes, Context] | None:
+    """(first string, key, context) of the strings with ``low`` to ``high`` bytes before the anchor."""
+    before = context.low + len(context.left)  # the anchor, in the first string
+    first, last = max(0, before - high), min(context.width, before - low)
+    if first > last:
+        return None
+    stop = len(context.left) - (low - context.low)
+    skip = context.high - high
+    end = len(context.right) - (context.width - last)
+    key = xxhash.xxh3_128_digest(key + context.left[stop:] + context.right[:skip], low << 8 | high)
+    return first, key, Context(low, high, context.left[first:stop], context.right[skip:end], last - first)
 
 
 def _distinct(contexts: DataFrame) -> DataFrame:
-    first = F.min(F.struct("at", "start", "context")).alias("first")
-    return contexts.groupBy(*_SAME).agg(first).select(*_SAME, "first.at", "first.start", "first.context")
+    """Each context once, with its first place: the least document, and the least start there."""
+    # One number for both, as minima of numbers need no sort.
+    place = F.expr("cast(at as decimal(19, 0)) * 1099511627776bd + cast(start as decimal(13, 0))")
+    first = contexts.groupBy("key0", "key1", "shape", "sides").agg(F.min(place).alias("place"))
+    return first.select(
+        "key0", "key1", "shape", "sides",
+        F.expr("cast(place div 1099511627776bd as long)").alias("at"),
+        F.expr("cast(place % 1099511627776bd as long)").alias("start"),
+    )
 
 
 def _removed(size: int, spans: list[int], stay: list[dict], length: int) -> np.ndarray:
@@ -296,6 +316,7 @@ def dedup_passages(
     """
     if not 16 <= length <= 255:
         raise ValueError("length must be 16 to 255 bytes")
+    spark = df.sparkSession
     gram = 1 << (length // 3).bit_length() - 1
     docs = df.select(
         F.struct("*").alias("row"),
@@ -340,82 +361,101 @@ def dedup_passages(
     # Documents with repeated anchors, numbered in order of their ids.
     spans = spans.repartitionByRange("doc", "hash").sortWithinPartitions("doc", "hash")
     spans = keep(spans.withColumn("at", F.monotonically_increasing_id()), "spans")
+    collect_garbage(spark)
 
     def same(left: DataFrame, right: DataFrame):
         return left["doc"].eqNullSafe(right["doc"]) & (left["hash"] == right["hash"])
 
-    halves = [(0, (length - gram) // 2), ((length - gram) // 2 + 1, length - gram)]
+    middle = (length - gram) // 2
+    halves = [(low, high, low << 8 | high) for low, high in ((0, middle), (middle + 1, length - gram))]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
-            contexts = _Contexts()
+            found = _Found()
             for text, spans, at in zip(*(batch.column(n).to_pylist() for n in ("text", "spans", "at"))):
                 for span in spans:
-                    start, width, before = span >> 16, span >> 8 & 255, span & 255
-                    part = text[start : start + width + length]
-                    for low, high in halves:
-                        contexts.add(at, start, part, before, width, low, high, length)
-                    if contexts.size > 1 << 24:
-                        yield contexts.flush()
-            if contexts.rows:
-                yield contexts.flush()
+                    start = span >> 16
+                    end, anchor = start + (span >> 8 & 255), start + (span & 255)
+                    for low, high, seed in halves:
+                        first, last = max(start, anchor - high), min(end, anchor - low)
+                        if first <= last:
+                            head, tail = anchor - low, anchor + length - high
+                            key = digest(text[head:tail], seed)
+                            context = Context(low, high, text[first:head], text[tail : last + length], last - first)
+                            found.add(key, context, at, first)
+                    if found.size > 1 << 24:
+                        yield found.flush()
+            if found.rows:
+                yield found.flush()
 
     texts = docs.select("doc", "hash", "text").join(spans, same(docs, spans)).select("text", "spans", "at")
     level = keep(_distinct(texts.mapInArrow(gather, _CONTEXT)), "contexts")
+    collect_garbage(spark)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            contexts = _Contexts()
+            found = _Found()
             for r in batch.to_pylist():
-                middle = (r["low"] + r["high"]) // 2
-                for low, high in ((r["low"], middle), (middle + 1, r["high"])):
-                    contexts.add(r["at"], r["start"], r["context"], r["at_anchor"], r["width"], low, high, length)
-            if contexts.rows:
-                yield contexts.flush()
+                context = _context(r["shape"], r["sides"])
+                key = np.array([r["key0"], r["key1"]], "<i8").tobytes()
+                middle = (context.low + context.high) // 2
+                for low, high in ((context.low, middle), (middle + 1, context.high)):
+                    if part := _narrowed(context, key, low, high):
+                        first, key_of, inner = part
+                        found.add(key_of, inner, r["at"], r["start"] + first)
+            if found.rows:
+                yield found.flush()
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple] = []  # whole groups
-        group: list[tuple] = []
-        size, key = 0, None
-
-        def runs(rows: list[tuple]) -> list[tuple[int, int, int]]:
-            if len(rows) == 1:
-                return [(rows[0][0], rows[0][1], rows[0][1] + rows[0][2])]
-            found = first_places([r[3] for r in rows], [r[:2] for r in rows], length)
-            return [(rows[i][0], rows[i][1] + first, rows[i][1] + last) for i, first, last in found]
-
-        def close(out: list, last: bool) -> None:
-            nonlocal waiting, group, size
+        waiting: dict[tuple[int, int], list] = {}  # whole groups, by their bounds
+        sizes: dict[tuple[int, int], int] = {}
+        out: list[tuple[int, int, int]] = []
+
+        def array(bounds: tuple[int, int]) -> None:
+            sizes[bounds] = 0
+            groups, orders, contexts = zip(*waiting.pop(bounds))
+            for i, first, last in first_places(contexts, groups, orders):
+                out.append((orders[i][0], orders[i][1] + first, orders[i][1] + last))
+
+        def close(group: list[tuple[int, int, int, bytes]]) -> None:
             if len(group) == 1:
-                out += runs(group)
-            else:
-                waiting += group
-                size += sum(len(r[3]) for r in group)
-            group = []
-            if waiting and (last or size >= SHARD_BYTES):
-                out += runs(waiting)
-                waiting, size = [], 0
-
-        def table(out: list) -> pa.RecordBatch:
+                [(at, start, shape, _)] = group
+                out.append((at, start, start + (shape & 255)))
+                return
+            bounds = group[0][2] >> 24, group[0][2] >> 16 & 255
+            inside = waiting.setdefault(bounds, [])
+            number = inside[-1][0] + 1 if inside else 0
+            inside += [(number, (at, start), _context(shape, sides)) for at, start, shape, sides in group]
+            sizes[bounds] = sizes.get(bounds, 0) + sum(len(r[3]) + 2 for r in group)
+            if sizes[bounds] >= SHARD_BYTES:
+                array(bounds)
+
+        def table() -> pa.RecordBatch:
             columns = [pa.array(c, pa.int64()) for c in (zip(*out) if out else [[], [], []])]
+            out.clear()
             return pa.RecordBatch.from_arrays(columns, names=["at", "first", "last"])
 
+        group: list[tuple[int, int, int, bytes]] = []
+        key = None
         for batch in batches:
-            out: list[tuple[int, int, int]] = []
-            columns = [batch.column(n).to_pylist() for n in ("key0", "key1", "at", "start", "width", "context")]
+            columns = [batch.column(n).to_pylist() for n in ("key0", "key1", "at", "start", "shape", "sides")]
             for key0, key1, *row in zip(*columns):
                 if (key0, key1) != key:
-                    close(out, False)
-                    key = (key0, key1)
+                    if group:
+                        close(group)
+                    group, key = [], (key0, key1)
                 group.append(tuple(row))
-            yield table(out)
-        out = []
-        close(out, True)
-        yield table(out)
+            yield table()
+        if group:
+            close(group)
+        for bounds in list(waiting):
+            array(bounds)
+        yield table()
 
     stay = []
     while True:
-        large = level.groupBy("key0", "key1").agg(F.sum(F.octet_length("context")).alias("bytes"), F.count("*").alias("n"))
+        large = level.groupBy("key0", "key1").agg(F.sum(F.octet_length("sides")).alias("bytes"), F.count("*").alias("n"))
         large = keep(large.where(F.col("bytes") > group_bytes).where("n > 1").select("key0", "key1"), "large-groups")
         some_large = not large.isEmpty()
         small = level.join(large, ["key0", "key1"], "left_anti") if some_large else level
