@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -85,8 +86,11 @@ def collect_garbage(spark: SparkSession) -> None:
 
     It deletes them when the driver's collector finds that nothing refers to them, and
     collects by itself every half hour only (``spark.cleaner.periodicGC.interval``).
+    What a job that has just ended used is let go by the second time.
     """
-    spark._jvm.System.gc()
+    for _ in range(2):
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 _in_worker: dict = {}
