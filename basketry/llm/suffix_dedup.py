@@ -233,32 +233,27 @@ def _runs(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
 _CONTEXT = "key0 long, key1 long, shape long, sides binary, at long, start long"
 
 
-class _Found:
-    """Rows of contexts, each once with its first place."""
-
-    def __init__(self):
-        self.rows: dict[tuple, tuple] = {}
-        self.size = 0
+class _Found(dict):
+    """Contexts (key, shape and sides as bytes), each once with its first place."""
 
     def add(self, key: bytes, context: Context, at: int, start: int) -> None:
         low, high, left, right, width = context
-        shape = low << 24 | high << 16 | len(left) << 8 | width
-        of = (key, shape, left + right)
-        known = self.rows.get(of)
-        if known is None:
-            self.size += len(left) + len(right) + 200
-            self.rows[of] = (at, start)
-        elif (at, start) < known:
-            self.rows[of] = (at, start)
+        of = key + _shape(low, high, len(left), width) + left + right
+        place = (at << 40) + start
+        if self.setdefault(of, place) > place:
+            self[of] = place
 
     def flush(self) -> pa.RecordBatch:
-        key, shape, sides = zip(*self.rows)
-        at, start = zip(*self.rows.values())
-        self.rows, self.size = {}, 0
-        key = np.frombuffer(b"".join(key), "<i8").reshape(-1, 2).T.copy()
-        columns = [pa.array(c, pa.int64()) for c in (*key, shape)] + [pa.array(sides, pa.binary())]
-        columns += [pa.array(c, pa.int64()) for c in (at, start)]
-        return pa.RecordBatch.from_arrays(columns, names=["key0", "key1", "shape", "sides", "at", "start"])
+        fixed = np.frombuffer(b"".join([of[:24] for of in self]), "<i8").reshape(-1, 3).T.copy()
+        sides = pa.array([of[24:] for of in self], pa.binary())
+        places = [pa.array([p >> 40 for p in self.values()]), pa.array([p & (1 << 40) - 1 for p in self.values()])]
+        self.clear()
+        names = ["key0", "key1", "shape", "sides", "at", "start"]
+        return pa.RecordBatch.from_arrays([*map(pa.array, fixed), sides, *places], names=names)
+
+
+def _shape(low: int, high: int, left: int, width: int) -> bytes:
+    return (low << 24 | high << 16 | left << 8 | width).to_bytes(8, "little")
 
 
 def _context(shape: int, sides: bytes) -> Context:
@@ -366,27 +361,31 @@ def dedup_passages(
     def same(left: DataFrame, right: DataFrame):
         return left["doc"].eqNullSafe(right["doc"]) & (left["hash"] == right["hash"])
 
-    middle = (length - gram) // 2
-    halves = [(low, high, low << 8 | high) for low, high in ((0, middle), (middle + 1, length - gram))]
+    third = (length - gram) // 3
+    bounds = [(0, third), (third + 1, 2 * third + 1), (2 * third + 2, length - gram)]
+    kinds = [(low, high, low << 8 | high) for low, high in bounds if low <= high]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for batch in batches:
             found = _Found()
             for text, spans, at in zip(*(batch.column(n).to_pylist() for n in ("text", "spans", "at"))):
+                document = at << 40
                 for span in spans:
                     start = span >> 16
                     end, anchor = start + (span >> 8 & 255), start + (span & 255)
-                    for low, high, seed in halves:
-                        first, last = max(start, anchor - high), min(end, anchor - low)
-                        if first <= last:
+                    for low, high, seed in kinds:
+                        first = max(start, anchor - high)
+                        width = min(end, anchor - low) - first
+                        if width >= 0:
                             head, tail = anchor - low, anchor + length - high
-                            key = digest(text[head:tail], seed)
-                            context = Context(low, high, text[first:head], text[tail : last + length], last - first)
-                            found.add(key, context, at, first)
-                    if found.size > 1 << 24:
+                            of = digest(text[head:tail], seed) + _shape(low, high, head - first, width)
+                            of += text[first:head] + text[tail : first + width + length]
+                            if found.setdefault(of, document + first) > document + first:
+                                found[of] = document + first
+                    if len(found) > 100_000:
                         yield found.flush()
-            if found.rows:
+            if found:
                 yield found.flush()
 
     texts = docs.select("doc", "hash", "text").join(spans, same(docs, spans)).select("text", "spans", "at")
@@ -404,7 +403,7 @@ def dedup_passages(
                     if part := _narrowed(context, key, low, high):
                         first, key_of, inner = part
                         found.add(key_of, inner, r["at"], r["start"] + first)
-            if found.rows:
+            if found:
                 yield found.flush()
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
