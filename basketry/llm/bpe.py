@@ -22,24 +22,28 @@ import base64
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession, functions as F
 
 from basketry.llm.common import in_worker
-from basketry.llm.pieces import CACHE_SIZE, PieceEncoder
+from basketry.llm.pieces import CACHE_BYTES, PieceEncoder
+
+#: Pairs of entries a worker remembers (some 50 MB); then it starts anew.
+PAIRS = 400_000
+
 
 class Encoder(PieceEncoder):
     def __init__(self, rank_file: bytes, pattern: str):
-        super().__init__(pattern)
+        super().__init__(pattern, 3 * CACHE_BYTES)  # a miss costs more than elsewhere
         lines = (line.split() for line in rank_file.splitlines() if line)
         self.rank = {base64.b64decode(token).decode("latin-1"): int(rank) for token, rank in lines}
         self.token = {rank: token for token, rank in self.rank.items()}
-        self.bytes = {rank: token.encode("latin-1") for rank, token in self.token.items()}
         self.automaton = ahocorasick.Automaton()
         for token, rank in self.rank.items():
             self.automaton.add_word(token, (rank, len(token)))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.prefixes: dict[int, int | None] = {}
+        self.pairs: dict[int, bool] = {}
+        self.prefixes: dict[int, tuple[int, int]] = {}
 
     def merged(self, text: str) -> list[str]:
         """The plain rule: merge the neighbours of least rank until none is left."""
@@ -55,49 +59,89 @@ class Encoder(PieceEncoder):
         return parts
 
     def fits(self, left: int, right: int) -> bool:
-        known = self.pairs.get((left, right))
+        pair = left << 32 | right
+        known = self.pairs.get(pair)
         if known is None:
-            if len(self.pairs) >= CACHE_SIZE:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             a, b = self.token[left], self.token[right]
-            known = self.pairs[left, right] = self.merged(a + b) == [a, b]
+            known = self.pairs[pair] = self.merged(a + b) == [a, b]
         return known
 
-    def shorter(self, rank: int) -> int | None:
-        """The longest entry that is a proper prefix of this one."""
-        if rank not in self.prefixes:
+    def shorter(self, rank: int) -> tuple[int, int]:
+        """The longest entry that is a proper prefix of this one, and its length; (-1, 0) if there is none."""
+        known = self.prefixes.get(rank)
+        if known is None:
             token = self.token[rank]
             ends = (token[:n] for n in range(len(token) - 1, 0, -1))
-            self.prefixes[rank] = next((self.rank[t] for t in ends if t in self.rank), None)
-        return self.prefixes[rank]
+            known = next(((self.rank[t], len(t)) for t in ends if t in self.rank), (-1, 0))
+            self.prefixes[rank] = known
+        return known
 
     def encode_match(self, match: str) -> list[int]:
         text = match.encode().decode("latin-1")
         whole = self.rank.get(text)
         if whole is not None:
             return [whole]
-        longest = self.automaton.iter_long  # from a byte on, longest entry after longest entry
+        longest, pairs, fits = self.automaton.iter_long, self.pairs, self.fits
         ids: list[int] = []
         dead: set[int] = set()
-        at, ahead = 0, longest(text)
-        rank = next(ahead)[1][0]
+        at, last, size = 0, -1, len(text)
+        ahead = longest(text)  # from a byte on, longest entry after longest entry
+        rank, length = next(ahead)[1]
         while True:
-            end = at + len(self.token[rank])
-            if end not in dead and (not ids or self.fits(ids[-1], rank)):
-                ids.append(rank)
-                if end == len(text):
-                    return ids
-                if ahead is None:
-                    ahead = longest(text, end)
-                at, rank = end, next(ahead)[1][0]
-                continue
-            ahead, rank = None, self.shorter(rank)
-            if rank is None:
+            end = at + length
+            if end not in dead:
+                if last < 0:
+                    fit = True
+                else:
+                    fit = pairs.get(last << 32 | rank)
+                    if fit is None:
+                        fit = fits(last, rank)
+                if fit:
+                    ids.append(rank)
+                    if end == size:
+                        return ids
+                    if ahead is None:
+                        ahead = longest(text, end)
+                    at, last = end, rank
+                    rank, length = next(ahead)[1]
+                    continue
+            ahead = None
+            rank, length = self.shorter(rank)
+            while rank < 0:  # nothing fits at this byte: a shorter entry before it
                 if not ids:
                     raise ValueError("the vocabulary lacks single bytes of the text")
                 dead.add(at)
-                rank = ids.pop()
-                at -= len(self.token[rank])
+                before = ids.pop()
+                last = ids[-1] if ids else -1
+                at -= len(self.token[before])
+                rank, length = self.shorter(before)
+
+
+class Decoder:
+    """All entries of the vocabulary one behind the other, by rank."""
+
+    def __init__(self, rank_file: bytes):
+        lines = [line.split() for line in rank_file.splitlines() if line]
+        tokens = {int(rank): base64.b64decode(token) for token, rank in lines}
+        self.entries = pa.array([tokens.get(rank) for rank in range(max(tokens) + 1)], pa.large_binary())
+        self.unknown = np.array([rank not in tokens for rank in range(max(tokens) + 1)])
+
+    def decode(self, rows: pa.ListArray) -> pa.Array:
+        """The bytes of each row of ids, by gathering the entries of all rows at once."""
+        rows = rows.cast(pa.list_(pa.int64()))
+        ids, ends = rows.flatten(), rows.value_lengths().fill_null(0).to_numpy()
+        ends = np.concatenate([[0], np.cumsum(ends)])
+        numbers = ids.fill_null(-1).to_numpy()
+        wrong = (numbers < 0) | (numbers >= len(self.unknown))
+        wrong |= self.unknown[np.where(wrong, 0, numbers)]
+        taken = self.entries.take(pa.array(np.where(wrong, 0, numbers)))
+        offsets = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset :][ends].copy()
+        bad = np.diff(np.concatenate([[0], np.cumsum(wrong)])[ends]) > 0
+        missing = pa.array(bad | ~rows.is_valid().to_numpy(zero_copy_only=False))
+        texts = pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(offsets), taken.buffers()[2]])
+        return pc.if_else(missing, pa.scalar(None, pa.large_binary()), texts).cast(pa.binary())
 
 
 def _encoder(rank_file: bytes, pattern: str) -> Encoder:
@@ -132,20 +176,10 @@ def encode(text: Column, vocabulary: Vocabulary) -> Column:
 
 def decode(ids: Column, vocabulary: Vocabulary) -> Column:
     """Bytes of an ``array<int>`` column of ids."""
-    ranks, pattern = vocabulary.ranks, vocabulary.pattern
+    ranks = vocabulary.ranks
 
     @F.arrow_udf("binary")
     def joined(rows: pa.Array) -> pa.Array:
-        known = _encoder(ranks.value, pattern).bytes.__getitem__
-
-        def text(row: pa.Scalar) -> bytes | None:
-            if not row.is_valid:
-                return None
-            try:
-                return b"".join(map(known, row.values.to_pylist()))
-            except KeyError:
-                return None
-
-        return pa.array([text(row) for row in rows], pa.binary())
+        return in_worker(("decoder", ranks.value), lambda: Decoder(ranks.value), beside=True).decode(rows)
 
     return joined(ids)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import shutil
 import tempfile
 import time
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Rows and bytes handed to a Python worker at once; texts can be long.
@@ -96,18 +99,31 @@ def collect_garbage(spark: SparkSession) -> None:
 _in_worker: dict = {}
 
 
-def in_worker(key, make):
+def in_worker(key, make, beside: bool = False):
     """What ``make`` gave for a key, kept by a Python worker from batch to batch.
 
     A worker serves many tasks and keeps the state of one operator at a time, so the
-    memory of successive operators does not add up.
+    memory of successive operators does not add up; with ``beside`` the state joins what
+    the same operator keeps already.
     """
     if key not in _in_worker:
-        _in_worker.clear()
+        if not beside:
+            _in_worker.clear()
+            give_back_memory()
         _in_worker[key] = make()
     return _in_worker[key]
 
 
+def give_back_memory() -> None:
+    """Return a worker's free memory, of Arrow and of the heap, to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of the graph with edges (a, b): the least node reachable.
 

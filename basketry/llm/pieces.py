@@ -6,8 +6,10 @@ from struct import pack
 
 import regex
 
-#: Entries per cache and worker; a full cache is emptied.
-CACHE_SIZE = 400_000
+#: Bytes a worker's caches take at most, roughly, where not told otherwise; full ones are emptied.
+CACHE_BYTES = 64 * 1024**2
+#: What an entry takes besides its text and ids.
+ENTRY_BYTES = 230
 #: Longer pieces of several matches hardly ever occur twice.
 SHORT = 10
 
@@ -19,20 +21,23 @@ class PieceEncoder:
     cached by what follows the space they start with (``later``) or by themselves.
     """
 
-    def __init__(self, pattern: str):
+    def __init__(self, pattern: str, cache_bytes: int = CACHE_BYTES):
         self.split = regex.compile(pattern)
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.room = self.cache_bytes = cache_bytes
 
     def encode_match(self, match: str) -> list[int]:
         raise NotImplementedError
 
-    def remember(self, cache: dict[str, bytes], key: str, ids: bytes) -> bytes:
-        if len(cache) >= CACHE_SIZE:
-            cache.clear()
+    def remember(self, cache: dict[str, bytes], key: str, ids: bytes) -> None:
         if len(key) < 64:
+            self.room -= ENTRY_BYTES + len(key) + len(ids)
+            if self.room < 0:
+                self.first.clear()
+                self.later.clear()
+                self.room = self.cache_bytes
             cache[key] = ids
-        return ids
 
     def encode_matches(self, matches: list[str]) -> bytes:
         parts = []
@@ -53,16 +58,17 @@ class PieceEncoder:
         A text may be cut where a space follows a non-space, as no match goes
         across; the pieces are encoded (and cached) one by one.
         """
-        parts, cache, lead = [], self.first, ""
-        for piece in text.split(" "):
-            ids = cache.get(piece)
+        first, *later = text.split(" ")
+        found = [self.first.get(first), *map(self.later.get, later)]
+        if None not in found:
+            return b"".join(found)
+        for i, ids in enumerate(found):
             if ids is None:
+                piece = later[i - 1] if i else first
                 if not piece or piece[-1].isspace():  # several spaces: not a place to cut
                     return self.encode_matches(self.split.findall(text))
-                matches = self.split.findall(lead + piece)
-                ids = self.encode_matches(matches)
+                matches = self.split.findall(" " + piece if i else piece)
+                found[i] = ids = self.encode_matches(matches)
                 if len(matches) > 1 and len(piece) <= SHORT:
-                    self.remember(cache, piece, ids)
-            parts.append(ids)
-            cache, lead = self.later, " "
-        return b"".join(parts)
+                    self.remember(self.later if i else self.first, piece, ids)
+        return b"".join(found)
