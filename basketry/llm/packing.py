@@ -22,13 +22,14 @@ null ids stay null. An empty table gives no pieces.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
@@ -62,7 +63,7 @@ class _Pieces(PieceEncoder):
 
     def encode_all(self, text: str) -> bytes:
         """Ids of a text and of the added tokens in it."""
-        if self.cut is None or not self.cut.search(text):
+        if not any(token in text for token in self.added):
             return self.encode(text)
         if not self.bare:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -81,24 +82,34 @@ def _pieces(tokenizer_file: str, pattern: str, added_tokens: bool) -> _Pieces:
     )
 
 
-def tokenize(
-    spark: SparkSession, text: Column, path: str, pattern: str, end_id: int, added_tokens: bool = False
-) -> Column:
-    """Ids of a text and the end token as binary: little-endian unsigned 32-bit numbers.
+class Tokens:
+    """Makes ids of texts: a file of the tokenizers library (bounded, some MB), sent to every executor once.
 
-    ``path`` is a file of the tokenizers library (bounded, some MB), ``pattern`` the
-    pattern by which that tokenizer cuts texts before merging. With ``added_tokens`` the
-    added tokens of that file get their ids where a text holds them, as by the library's
-    default; without, they are ordinary text.
+    ``pattern`` is the one by which that tokenizer cuts texts before merging; every text is
+    followed by ``end_id``. With ``added_tokens`` the added tokens of the file get their
+    ids where a text holds them, as by the library's default; without, they are ordinary
+    text.
     """
-    with open(path, encoding="utf-8") as file:
-        tokenizer = spark.sparkContext.broadcast(file.read())
-    end = np.array([end_id], "<u4").tobytes()
+
+    def __init__(self, spark: SparkSession, path: str, pattern: str, end_id: int, added_tokens: bool = False):
+        with open(path, encoding="utf-8") as file:
+            self.file = spark.sparkContext.broadcast(file.read())
+        self.pattern, self.added_tokens = pattern, added_tokens
+        self.end = np.array([end_id], "<u4").tobytes()
+
+    def encode(self, text: str | None) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        if not text:
+            return self.end
+        return _pieces(self.file.value, self.pattern, self.added_tokens).encode_all(text) + self.end
+
+
+def tokenize(text: Column, tokens: Tokens) -> Column:
+    """Ids of a text column as binary."""
 
     @F.arrow_udf("binary")
     def ids(texts: pa.Array) -> pa.Array:
-        encode = _pieces(tokenizer.value, pattern, added_tokens).encode_all
-        return pa.array([encode(t) + end if t else end for t in texts.to_pylist()], pa.binary())
+        return pa.array([tokens.encode(t) for t in texts.to_pylist()], pa.binary())
 
     return ids(text)
 
@@ -146,62 +157,68 @@ class _Packer:
 def pack(
     df: DataFrame,
     id_column: str,
-    ids_column: str,
+    text_column: str,
+    tokens: Tokens,
     size: int = 2048,
     linear: float = 1.0,
     quadratic: float = 1 / 2048,
     window: int = 512,
+    with_ids: bool = True,
 ) -> DataFrame:
-    """Pack documents given as binary ids into sequences of ``size`` tokens.
+    """Tokenise texts and pack them into sequences of ``size`` tokens.
 
     One row per piece: the id column, ``start`` (ids of the document before it),
-    ``length``, ``ids`` (binary), ``doc_tokens``, ``sequence_id`` and ``offset`` in
-    the sequence. ``window`` is the number of sequences filled together.
+    ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset`` in the sequence
+    and, unless ``with_ids`` is false, ``ids`` (binary). ``window`` is the number of
+    sequences filled together. One Python worker per task does all, so ids of a text cross
+    no process before they are packed.
     """
     kind = df.schema[id_column].dataType
-    numbers = [StructField(n, LongType()) for n in ("start", "length", "doc_tokens", "sequence_id", "offset")]
-    schema = StructType([StructField(id_column, kind), *df.select(F.col(ids_column).alias("ids")).schema, *numbers])
+    names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    fields = [StructField("document", kind), *(StructField(n, LongType()) for n in names)]
+    schema = StructType(fields + [StructField("ids", BinaryType())] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = _Packer(size, linear, quadratic, TaskContext.get().partitionId() << 33)
-        waiting, tokens, key_type = [], 0, None
+        waiting, held, key_type = [], 0, None
 
         def out(placed: list[tuple]) -> Iterator[pa.RecordBatch]:
             for i in range(0, len(placed), 2000):
                 part = placed[i : i + 2000]
-                columns = [
-                    pa.array([p[0][0] for p in part], key_type),
-                    pa.array([p[0][1][4 * p[1] : 4 * (p[1] + p[2])] for p in part], pa.binary()),
-                    pa.array([p[1] for p in part], pa.int64()),
-                    pa.array([p[2] for p in part], pa.int64()),
-                    pa.array([len(p[0][1]) // 4 for p in part], pa.int64()),
-                    pa.array([p[3] for p in part], pa.int64()),
-                    pa.array([p[4] for p in part], pa.int64()),
+                ids = [row[1][4 * start : 4 * (start + length)] for row, start, length, _, _ in part]
+                numbers = [
+                    (start, length, zlib.crc32(own), len(row[1]) // 4, sequence, offset)
+                    for own, (row, start, length, sequence, offset) in zip(ids, part)
                 ]
+                columns = [pa.array([p[0][0] for p in part], key_type)]
+                columns += [pa.array(c, pa.int64()) for c in zip(*numbers)]
+                columns += [pa.array(ids, pa.binary())] * with_ids
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
         for batch in batches:
             key_type = batch.schema[0].type
             ready = []
-            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                length = len(row[1] or b"") // 4
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                row = (key, tokens.encode(text.as_py()))
+                length = len(row[1]) // 4
                 for start in range(0, length - length % size, size):
                     ready.append(packer.whole(row, start))
                 if length % size:
                     waiting.append((row, length - length % size, length % size))
-                    tokens += length % size
-                if tokens >= window * size:
-                    placed, waiting = packer.fill(waiting, [size] * (tokens // size))
-                    tokens = sum(p[2] for p in waiting)
+                    held += length % size
+                if held >= window * size:
+                    placed, waiting = packer.fill(waiting, [size] * (held // size))
+                    held = sum(p[2] for p in waiting)
                     ready += placed
                 if len(ready) >= 2000:
                     yield from out(ready)
                     ready = []
             yield from out(ready)
-        if tokens:
-            rest = tokens % size
+        if held:
+            rest = held % size
             tail = [1 << bit for bit in reversed(range(rest.bit_length())) if rest >> bit & 1]
-            placed, _ = packer.fill(waiting, [size] * (tokens // size) + tail)
+            placed, _ = packer.fill(waiting, [size] * (held // size) + tail)
             yield from out(placed)
 
-    return df.select(id_column, F.col(ids_column).alias("ids")).mapInArrow(run, schema)
+    texts = df.select(F.col(id_column).alias("document"), F.col(text_column).alias("text"))
+    return texts.mapInArrow(run, schema).withColumnRenamed("document", id_column)

@@ -70,27 +70,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def pieces(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Pieces of tokenised documents in sequences of 2048, with their ids and the checksum of these."""
-    ids = packing.tokenize(
-        spark, F.col("text"), TOKENIZER, public_tokenizers.PATTERN, end_id=1, added_tokens=True
-    )
-    placed = packing.pack(docs.select("doc_id", ids.alias("ids")), "doc_id", "ids", size=2048)
-    return placed.select(
-        "doc_id",
-        "start",
-        "length",
-        F.crc32("ids").alias("ids_crc32"),
-        "doc_tokens",
-        "sequence_id",
-        "offset",
-        "ids",
-    )
-
-
-def packed(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The pieces with the checksum of their ids alone."""
-    return pieces(spark, docs).drop("ids")
+def packed(spark: SparkSession, docs: DataFrame, with_ids: bool = False) -> DataFrame:
+    """Pieces of tokenised documents in sequences of 2048, with the checksum of their ids."""
+    tokens = packing.Tokens(spark, TOKENIZER, public_tokenizers.PATTERN, end_id=1, added_tokens=True)
+    return packing.pack(docs, "doc_id", "text", tokens, size=2048, with_ids=with_ids)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

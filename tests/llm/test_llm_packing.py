@@ -62,7 +62,7 @@ def test_repeated_rows_are_packed_one_by_one(spark, documents):
 def test_all_bytes_tokenize_as_the_library_does(spark, documents, tokenizer):
     text = "".join(chr(c) for c in range(1, 0x3000)) + "🙂日本 <|endoftext|>  x"
     [row] = documents(text).select(
-        packing.tokenize(spark, F.col("text"), queries.TOKENIZER, public_tokenizers.PATTERN, 1).alias("ids")
+        packing.tokenize(F.col("text"), packing.Tokens(spark, queries.TOKENIZER, public_tokenizers.PATTERN, 1)).alias("ids")
     ).collect()
     ids = tokenizer.encode(text, add_special_tokens=False).ids + [1]
     assert bytes(row.ids) == struct.pack(f"<{len(ids)}I", *ids)
