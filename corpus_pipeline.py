@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from basketry.llm import jaccard, line_dedup, pii
 from basketry.llm import toxicity as toxic_language
 from basketry.llm.common import keep, prepare
-from basketry.llm.queries import pieces, table, toxicity_model
+from basketry.llm.queries import packed, table, toxicity_model
 
 
 def _with_text(docs: DataFrame, text: Column, columns: list[str]) -> DataFrame:
@@ -50,7 +50,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left is tokenised, cut and packed; ``ids`` holds the training data."""
-    return pieces(prepare(spark), docs)
+    return packed(prepare(spark), docs, with_ids=True)
 
 
 STAGES = [
