@@ -11,7 +11,8 @@ Before ``q*o`` or a vector's score is computed at all, the stored distance d to
 parent p gives the bound ``q*p + |q| * (d + radius)``, which leaves most of them out.
 Bounds are rounded up and ties are not left out, so results are exact.
 
-Blocks of queries meet every tree; each pair gives back k rows for a query.
+Blocks of queries meet every tree and go down it together; each pair gives back k rows for
+a query.
 
 Vectors that are null or hold null or non-finite components, and rows without an id,
 take no part. Only vectors of the query's length are candidates. A query never finds
@@ -95,49 +96,71 @@ class Tree:
             **{n: np.array([p[n] for p in pages]) for n in ("radius", "parent_distance", "first", "last", "is_leaf")},
         }
 
-    def search(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id), ties to smaller ids."""
-        length = float(np.sqrt((query.astype(np.float64) ** 2).sum())) * (1 + 1e-9)
-        best: list[tuple[int, int]] = []  # heap of (score, -id): the worst first
-        root = int(self.center[0] @ query)
-        pages = [(-(root + length * float(self.radius[0])), 0, root)]
-        self.computed += 1
-
-        def worst() -> float:
-            return best[0][0] - 1e-3 if len(best) == k else -np.inf
-
-        while pages and -pages[0][0] >= worst():
-            _, page, dot = heapq.heappop(pages)
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the query, score, id) of each query's k best, ties to smaller ids.
+
+        Queries go down the tree together: a page is visited once, for those queries
+        whose bound it still reaches, pages of the highest bound first. Products are of
+        whole numbers in double precision, exact below 2^53.
+        """
+        length = np.sqrt((queries**2).sum(1)) * (1 + 1e-9)
+        best = _Best(len(queries), k)
+        everyone = np.arange(len(queries))
+        root = queries @ self.center[0]
+        self.computed += len(queries)
+        bound = root + length * self.radius[0]
+        pages = [(-bound.max(), 0, everyone, root, bound)]
+        while pages:
+            highest, page, asking, dot, bound = heapq.heappop(pages)
+            still = bound >= best.worst[asking]
+            if not still.any():
+                continue
+            asking, dot = asking[still], dot[still]
             part = slice(self.first[page], self.last[page])
-            if self.is_leaf[page]:
-                some = np.flatnonzero(dot + length * self.row_distance[part] >= worst()) + part.start
-                if not len(some):
-                    continue
-                scores, found = self.rows[some] @ query, self.ids[some]
-                self.computed += len(some)
-                order = np.lexsort((found, -scores))
-                taken = 0
-                for i in order:
-                    if found[i] == own:
-                        continue
-                    item = (int(scores[i]), -int(found[i]))
-                    if len(best) < k:
-                        heapq.heappush(best, item)
-                    elif item > best[0]:
-                        heapq.heapreplace(best, item)
-                    taken += 1
-                    if taken == k:
-                        break
-            else:
-                reach = self.parent_distance[part] + self.radius[part]
-                some = np.flatnonzero(dot + length * reach >= worst()) + part.start
-                dots = self.center[some] @ query
-                self.computed += len(some)
-                for child, own_dot in zip(some.tolist(), dots.tolist()):
-                    bound = own_dot + length * float(self.radius[child])
-                    if bound >= worst():
-                        heapq.heappush(pages, (-bound, child, own_dot))
-        return sorted(((s, -i) for s, i in best), key=lambda x: (-x[0], x[1]))
+            is_leaf = self.is_leaf[page]
+            reach = self.row_distance[part] if is_leaf else self.parent_distance[part] + self.radius[part]
+            within = dot[:, None] + length[asking, None] * reach >= best.worst[asking, None]
+            some = np.flatnonzero(within.any(0))
+            if not len(some):
+                continue
+            within, some = within[:, some], some + part.start
+            self.computed += int(within.sum())
+            dots = queries[asking] @ (self.rows if is_leaf else self.center)[some].T
+            if is_leaf:
+                best.offer(asking, own[asking], self.ids[some], dots, within)
+                continue
+            bounds = dots + length[asking, None] * self.radius[some]
+            near = within & (bounds >= best.worst[asking, None])
+            for column in np.flatnonzero(near.any(0)).tolist():
+                of = np.flatnonzero(near[:, column])
+                reached = bounds[of, column]
+                heapq.heappush(pages, (-reached.max(), int(some[column]), asking[of], dots[of, column], reached))
+        return best.query, best.score, best.id
+
+
+class _Best:
+    """The k best of each query so far, and the bound a page must reach to matter."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.worst = np.full(queries, -np.inf)
+        self.query, self.score, self.id = np.array([], np.int64), np.array([]), np.array([], np.int64)
+
+    def offer(self, asking: np.ndarray, own: np.ndarray, ids: np.ndarray, scores: np.ndarray, within: np.ndarray):
+        row, column = np.nonzero(within & (scores >= self.worst[asking, None]) & (ids[None, :] != own[:, None]))
+        if not len(row):
+            return
+        query = np.concatenate([self.query, asking[row]])
+        score = np.concatenate([self.score, scores[row, column]])
+        found = np.concatenate([self.id, ids[column]])
+        order = np.lexsort((found, -score, query))
+        query, score, found = query[order], score[order], found[order]
+        first = np.searchsorted(query, query)
+        rank = np.arange(len(query)) - first
+        keep_ = rank < self.k
+        self.query, self.score, self.id = query[keep_], score[keep_], found[keep_]
+        full = rank[keep_] == self.k - 1
+        self.worst[self.query[full]] = self.score[full] - 1e-3
 
 
 def _save(arrays: dict[str, np.ndarray]) -> bytes:
@@ -152,7 +175,10 @@ def _load(blob: bytes) -> Tree:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.int64)
+    """Vectors of one length, whole numbers in double precision."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy().reshape(len(column), -1).astype(np.float64)
 
 
 def top_k(
@@ -163,12 +189,12 @@ def top_k(
     k: int = 5,
     scale: int = 256,
     tree_rows: int = 32_768,
-    block_queries: int = 128,
+    block_queries: int = 1024,
     pivots: int = 256,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows for which ``is_query`` holds.
 
-    A component x counts as ``floor(scale * x)``; scores must fit into 64 bits.
+    A component x counts as ``floor(scale * x)``; scores must stay below 2^53.
     ``pivots`` vectors are sampled to deal the rows.
     """
     spark = df.sparkSession
@@ -199,13 +225,13 @@ def top_k(
 def _search(rows: DataFrame, count: int, k: int, tree_rows: int, block_queries: int, pivots: int) -> DataFrame:
     spark = rows.sparkSession
     sample = rows.select("vector").orderBy(F.xxhash64("id")).limit(pivots).toArrow()
-    sample = spark.sparkContext.broadcast(_matrix(sample["vector"]).astype(np.float64))
+    sample = spark.sparkContext.broadcast(_matrix(sample["vector"]))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            points = _matrix(batch.column("vector")).astype(np.float64)
+            points = _matrix(batch.column("vector"))
             pivot = ((sample.value**2).sum(1)[None, :] - 2 * points @ sample.value.T).argmin(1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("vector"), pa.array(pivot)], names=["id", "vector", "pivot"]
@@ -256,22 +282,33 @@ def _search(rows: DataFrame, count: int, k: int, tree_rows: int, block_queries:
     meeting = asked.join(numbers, "block").unionByName(forest.select("tree", every, "blob"), allowMissingColumns=True)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, number = None, None
+        tree, asked, vectors = None, [], []
+
+        def answer() -> pa.RecordBatch:
+            own = np.concatenate(asked)
+            query, score, found = tree.search(np.concatenate(vectors), own, k)
+            asked.clear()
+            vectors.clear()
+            columns = [own[query], found, score.astype(np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+
         for batch in batches:
-            out = []
-            columns = [batch.column(n).to_pylist() for n in ("tree", "query", "vector")]
-            blobs = batch.column("blob")
-            for i, (at, query, vector) in enumerate(zip(*columns)):
-                if query is None:
-                    if at != number:
-                        tree, number = _load(blobs[i].as_py()), at
+            is_tree = batch.column("query").is_null().to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(is_tree)
+            for begin, end in zip([0, *starts], [*starts, batch.num_rows]):
+                rows = batch.slice(begin, end - begin)
+                if not rows.num_rows:
                     continue
-                for score, found in tree.search(np.array(vector, np.int64), query, k):
-                    out.append((query, found, score))
-            table = list(zip(*out)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in table], names=["query_id", "vec_id", "score"]
-            )
+                if is_tree[begin]:
+                    if asked:
+                        yield answer()
+                    tree = _load(rows.column("blob")[0].as_py())
+                    rows = rows.slice(1)
+                if rows.num_rows:
+                    asked.append(rows.column("query").to_numpy())
+                    vectors.append(_matrix(rows.column("vector")))
+        if asked:
+            yield answer()
 
     return (
         meeting.repartition("tree", "block")
