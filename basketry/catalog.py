@@ -29,32 +29,38 @@ class Query:
     """A query, the reader's choices and options of the tables it reads.
 
     ``latest`` are choices that are the latest date of a column: name -> (table, column).
+    ``between`` names the option by which a table's view takes the range of dates that the
+    choices ``start`` and ``end`` make: table -> option.
     """
 
     run: Callable[..., DataFrame]
     choices: dict = field(default_factory=dict)
     table_options: dict = field(default_factory=dict)
     latest: dict = field(default_factory=dict)
+    between: dict = field(default_factory=dict)
 
     def on_sample(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         """The query over whole sample tables; money is shown as double."""
         apply_settings(spark)
+        latest = {
+            name: latest_date(sample.TABLES[table](spark, sf_dir, (column,)), column)
+            for name, (table, column) in self.latest.items()
+        }
+        chosen = self.choices | latest
+        dates = {table: {option: (chosen.get("start"), chosen.get("end"))} for table, option in self.between.items()}
         frames = [
             sample.TABLES[table](
-                spark, sf_dir, None if isinstance(columns, Whole) else columns, **self.table_options.get(table, {})
+                spark, sf_dir, None if isinstance(columns, Whole) else columns,
+                **self.table_options.get(table, {}), **dates.get(table, {}),
             )
             for table, columns in self.run.needs.items()
         ]
-        latest = {
-            name: latest_date(sample.TABLES[table](spark, sf_dir, (column,)), column)
-            for name, (table, column) in self.latest.items()
-        }
         return money_as_double(self.run(*frames, **self.choices, **latest))
 
 
 @dataclass(frozen=True)
 class Loading:
-    """A sample table written as flawed CSV text and read by the loader's rules."""
+    """A sample table written as flawed CSV, as text or in files, and read by the loader."""
 
     load: Callable[[SparkSession, str], DataFrame]
 
@@ -74,6 +80,7 @@ _pages = {"events": PAGE_EVENTS}
 _cart = {"cart_event": CART_EVENT}
 # The latest order date needs neither lines nor names.
 _to_latest_order = {"end": ("orders", "Order_Created_At")}
+_created = {"orders": "created"}
 _until_journey = {"as_of": JOURNEY_AS_OF}
 _until_orders = {"as_of": ORDERS_AS_OF}
 
@@ -82,6 +89,11 @@ QUERIES: dict[str, Query | Loading] = {
     "load_orders": Loading(as_text.orders),
     "load_journey": Loading(as_text.journey),
     "load_products": Loading(as_text.products),
+    "load_files_orders": Loading(as_text.order_files),
+    "load_files_journey": Loading(as_text.journey_files),
+    "load_files_products": Loading(as_text.product_files),
+    "load_files_first_last": Loading(as_text.first_and_last_in_files),
+    "load_files_rejects": Loading(as_text.rejects_in_files),
     # customers
     "cust_total_listed": Query(customers.total_listed),
     "cust_total_paying": Query(customers.total_paying),
@@ -127,7 +139,7 @@ QUERIES: dict[str, Query | Loading] = {
     ),
     # orders
     "ord_total": Query(orders.total),
-    "ord_filtered": Query(orders.filtered, latest=_to_latest_order),
+    "ord_filtered": Query(orders.filtered, latest=_to_latest_order, between=_created),
     "ord_weekday_weekend": Query(orders.weekday_weekend),
     "ord_by_weekday_name": Query(orders.by_weekday_name),
     "ord_by_hour": Query(orders.by_hour),
@@ -168,12 +180,13 @@ QUERIES: dict[str, Query | Loading] = {
     "prod_least_priced": Query(products.least_priced),
     "prod_unsold": Query(products.unsold),
     "prod_price_quartiles": Query(products.price_quartiles),
+    "prod_price_quantiles": Query(products.price_quantiles),
     "prod_price_histogram": Query(products.price_histogram),
     # revenue
     "rev_total": Query(revenue.total),
     "rev_avg": Query(revenue.average),
     "rev_refund_total": Query(revenue.refund_total),
-    "rev_filtered": Query(revenue.filtered, latest=_to_latest_order),
+    "rev_filtered": Query(revenue.filtered, latest=_to_latest_order, between=_created),
     "rev_weekday_weekend": Query(revenue.weekday_weekend),
     "rev_by_weekday_name": Query(revenue.by_weekday_name),
     "rev_by_hour": Query(revenue.by_hour),

@@ -1,8 +1,9 @@
 """Exact quantiles and an adaptive equal-width histogram of a money column.
 
-Both work on the counts of distinct amounts, computed once. Single figures
-(bounds, quartiles, bin width) reach the next step as scalar subqueries, so
-nothing is collected and nothing is cross joined.
+Both work on the counts of distinct amounts. The histogram writes these as a table in
+the shared folder, so that the rows are read once however many steps read the counts.
+Single figures (bounds, quartiles, bin width) reach the next step as scalar
+subqueries, so nothing is collected and nothing is cross joined.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from basketry.functions.text import decimal_text
+from basketry.sources.shared import stored
 
 # An amount in cents is split into three digits to this base, which covers
 # decimal(18,2): no window below ever sorts more than a million rows at once.
@@ -84,6 +86,19 @@ def exact_quantiles(counts: DataFrame, quantiles: Sequence[float]) -> DataFrame:
     return ends.select(*values)
 
 
+def approx_quantiles(df: DataFrame, column: str, quantiles: Sequence[float], accuracy: int = 10_000) -> DataFrame:
+    """One row with amounts ``q0``, ``q1``, ... of about these quantiles, from one pass.
+
+    Each task keeps a summary that merges with those of others, so one row per task is
+    shuffled. The rank of a result is off by at most ``n / accuracy``; it is an amount that
+    occurs (the least whose rank reaches the quantile), where :func:`exact_quantiles`
+    interpolates. Null amounts do not take part; without amounts all are null.
+    """
+    amount = F.col(column).cast("decimal(18,2)")
+    found = df.agg(F.percentile_approx(amount, [float(q) for q in quantiles], accuracy).alias("found"))
+    return found.select(*[F.get("found", F.lit(i)).alias(f"q{i}") for i in range(len(quantiles))])
+
+
 def _histogram_shape(counts: DataFrame) -> DataFrame:
     """One row: bounds, number of bins, step and the two outer edges.
 
@@ -166,8 +181,8 @@ def equal_width_histogram(df: DataFrame, column: str) -> DataFrame:
     lower edge below zero shown as 0) and ``Count``. Rows without an amount are
     in no bin.
     """
-    counts = amount_counts(df, column)
-    shape = _histogram_shape(counts)
+    counts = stored(amount_counts(df, column), "amounts")
+    shape = stored(_histogram_shape(counts), "histogram-shape")
     as_struct = shape.select(F.struct(*shape.columns)).scalar()
 
     filled = (

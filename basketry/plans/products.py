@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from basketry.functions.ratios import exact_mean, rounded
 from basketry.functions.text import date_part, without_commas
 from basketry.operators.distribution import (
-    amount_counts, equal_width_histogram, exact_quantiles,
+    amount_counts, approx_quantiles, equal_width_histogram, exact_quantiles,
 )
 from basketry.operators.filters import drop_nulls, filter_by_date, replace_value
 from basketry.operators.grain import ORDER
@@ -23,6 +23,7 @@ from basketry.operators.grouping import (
 from basketry.operators.membership import not_in
 from basketry.operators.ranking import bottom_n, check_limit, top_n
 from basketry.plans.inputs import Whole, requires
+from basketry.sources.shared import stored
 
 _PRICED = ("Product_ID", "Product_Title", "Product_Published_At", "Variant_Price")
 _PRODUCT = ["Product_ID", "Product_Title"]
@@ -104,10 +105,17 @@ def unsold(products: DataFrame, orders: DataFrame) -> DataFrame:
 @requires(products=("Product_Published_At", "Variant_Price"))
 def price_quartiles(products: DataFrame) -> DataFrame:
     """Lower and upper quartile of the published variants' prices."""
-    counts = amount_counts(published(products), "Variant_Price")
+    counts = stored(amount_counts(published(products), "Variant_Price"), "amounts")
     return exact_quantiles(counts, (0.25, 0.75)).toDF("lower_quartile", "upper_quartile")
 
 
+@requires(products=("Product_Published_At", "Variant_Price"))
+def price_quantiles(products: DataFrame, accuracy: int = 10_000) -> DataFrame:
+    """Prices that about a tenth, half and nine tenths of the published variants do not exceed."""
+    found = approx_quantiles(published(products), "Variant_Price", (0.1, 0.5, 0.9), accuracy)
+    return found.toDF("low_price", "middle_price", "high_price")
+
+
 @requires(products=("Product_Published_At", "Variant_Price"))
 def price_histogram(products: DataFrame) -> DataFrame:
     """Published variants per price range."""

@@ -141,6 +141,32 @@ def unparsed(
     return counts.select(F.inline(F.array(*pairs)))
 
 
+def rejects(
+    spark: SparkSession,
+    table: str,
+    path: str,
+    multi_line: bool = False,
+    time_formats: Iterable[str] = TIME_FORMATS,
+) -> DataFrame:
+    """(row_order, column, text): every text that :func:`read_csv` makes null, as it stands in the file.
+
+    ``row_order`` is the row's place in the files, the one :func:`read_csv` gives it, so the
+    loaded table and its rejects together hold all texts but markers of missing values.
+    """
+    _check_utc(spark)
+    raw = _raw_csv(spark, path, multi_line)
+    values = dict(zip(raw.columns, typed(raw, table, missing_markers=True, time_formats=time_formats)))
+    lost = [
+        F.when(
+            missing_to_null(F.col(f"`{name}`")).isNotNull() & value.isNull(),
+            F.struct(F.lit(name).alias("column"), F.col(f"`{name}`").alias("text")),
+        )
+        for name, value in values.items()
+    ]
+    placed = _placed(raw, [F.filter(F.array(*lost), lambda x: x.isNotNull()).alias("lost")])
+    return placed.select(ORDER, F.inline("lost"))
+
+
 def read_parquet(spark: SparkSession, table: str, path: str, order: str | None = None) -> DataFrame:
     """Read Parquet files as one of the canonical tables.
 

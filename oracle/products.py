@@ -36,6 +36,11 @@ WHERE NOT EXISTS (SELECT 1 FROM v_orders o WHERE o.Product_ID = p.Product_ID)"""
     "prod_price_quartiles": """
 SELECT quantile_cont(CAST(Variant_Price AS DOUBLE), 0.25) AS lower_quartile,
        quantile_cont(CAST(Variant_Price AS DOUBLE), 0.75) AS upper_quartile
+FROM v_published""",
+    "prod_price_quantiles": """
+SELECT CAST(quantile_disc(Variant_Price, 0.1) AS DOUBLE) AS low_price,
+       CAST(quantile_disc(Variant_Price, 0.5) AS DOUBLE) AS middle_price,
+       CAST(quantile_disc(Variant_Price, 0.9) AS DOUBLE) AS high_price
 FROM v_published""",
     "prod_price_histogram": f"""
 WITH prices AS (SELECT CAST(Variant_Price AS DOUBLE) AS price FROM v_published),

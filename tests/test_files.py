@@ -8,7 +8,7 @@ from decimal import Decimal
 import pytest
 
 from basketry.plans import customers, journey, orders
-from basketry.sources.files import read_csv, read_parquet, unparsed
+from basketry.sources.files import read_csv, read_parquet, rejects, unparsed
 
 ORDERS_CSV = '''\
 Order_Total_Price,Order_ID,Customer_Name,Order_Created_At,Order_Cancelled_At,Extra,Product_ID
@@ -146,3 +146,26 @@ def test_other_session_zones_are_refused(spark, orders_csv):
             read_csv(spark, "orders", orders_csv)
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_loaded_values_and_rejects_hold_every_text(spark, tmp_path):
+    folder = tmp_path / "orders"
+    folder.mkdir()
+    (folder / "a.csv").write_text(
+        'Order_Total_Price,Order_ID,Order_Created_At,Customer_Name\n'
+        '1 EUR,1,2024-01-01,"two\nlines"\n2.50,2,soon,Ann\n'
+    )
+    (folder / "b.csv").write_text(
+        "Order_Total_Price,Order_ID,Order_Created_At,Customer_Name\nNaN,3,never,\n,4,2024-02-30,x\n"
+    )
+    table = read_csv(spark, "orders", str(folder), multi_line=True)
+    ids = {r.row_order: r.Order_ID for r in table.collect()}
+    lost = rejects(spark, "orders", str(folder), multi_line=True).collect()
+    assert sorted((ids[r.row_order], r.column, r.text) for r in lost) == [
+        ("1", "Order_Total_Price", "1 EUR"), ("2", "Order_Created_At", "soon"),
+        ("3", "Order_Created_At", "never"), ("4", "Order_Created_At", "2024-02-30"),
+    ]
+    counted = {r.column: r.texts for r in unparsed(spark, "orders", str(folder), multi_line=True).collect()}
+    assert counted == {"Order_Total_Price": 1, "Order_ID": 0, "Order_Created_At": 3, "Customer_Name": 0}
+    kept = {r.Order_ID: (r.Order_Total_Price, r.Order_Created_At, r.Customer_Name) for r in table.collect()}
+    assert kept["1"][1:] == (dt.datetime(2024, 1, 1), "two\nlines") and kept["2"][0] == Decimal("2.50")

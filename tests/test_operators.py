@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 from decimal import Decimal
+from fractions import Fraction
+from math import ceil, floor
 
 import numpy as np
 import pandas as pd
@@ -242,13 +244,36 @@ def test_rows_before_is_a_running_count(spark, amounts):
 
 
 def brute_histogram(amounts):
-    """Counts by comparing every amount with every edge."""
-    prices = pd.Series([np.nan if a is None else float(a) for a in amounts], dtype=float)
-    low, high, n = prices.min(), prices.max(), len(prices)
-    iqr = prices.quantile(0.75) - prices.quantile(0.25)
-    width = 2 * iqr / n ** (1 / 3) if iqr > 0 and n > 1 else (high - low) / 5
-    bins = max(1, int((high - low) / width))
-    return pd.cut(prices, bins=bins).value_counts(sort=False).tolist()
+    """Counts in exact fractions; bins are closed on the right, the first one on both sides."""
+    known = sorted(Fraction(str(a)) for a in amounts if a is not None)
+    low, spread, last = known[0], known[-1] - known[0], len(known) - 1
+
+    def quartile(part):
+        at = part * last
+        return known[floor(at)] + (known[ceil(at)] - known[floor(at)]) * (at - floor(at))
+
+    middle = quartile(Fraction(3, 4)) - quartile(Fraction(1, 4))
+    bins = 5
+    if middle > 0 and len(amounts) > 1:
+        bins = max(1, int(float(spread) / (2 * float(middle) / len(amounts) ** (1 / 3))))
+    counts = [0] * bins
+    for amount in known:
+        counts[max(0, ceil((amount - low) * bins / spread) - 1)] += 1
+    return counts
+
+
+@pytest.mark.parametrize("accuracy", [50, 10_000])
+def test_approximate_quantiles_keep_their_rank(spark, accuracy):
+    amounts = [(i * 7919 % 10_007) / 100 for i in range(10_007)] + [5.0] * 3000
+    quantiles = (0.0, 0.1, 0.5, 0.77, 1.0)
+    [found] = distribution.approx_quantiles(money_frame(spark, amounts), "price", quantiles, accuracy).collect()
+    for quantile, value in zip(quantiles, found):
+        below = sum(a < float(value) for a in amounts)
+        upto = sum(a <= float(value) for a in amounts)
+        slack = len(amounts) / accuracy + 1
+        assert below - slack <= quantile * len(amounts) <= upto + slack
+    [none] = distribution.approx_quantiles(money_frame(spark, [None]), "price", (0.5,)).collect()
+    assert none.q0 is None
 
 
 @pytest.mark.parametrize("amounts", [

@@ -77,6 +77,17 @@ def test_order_filters_reach_both_branches(large, sample_dir):
     assert scans(plan_of(large, sample_dir, "prod_avg_per_customer"), "lineitem") == 1
 
 
+def test_date_ranges_of_orders_reach_the_scan(large, sample_dir):
+    for name in ("ord_filtered", "rev_filtered"):
+        plan = plan_of(large, sample_dir, name)
+        assert re.search(r"PushedFilters: \[[^]]*LessThanOrEqual\(o_orderdate,ScalarSubquery", plan), plan
+
+
+def test_amounts_are_counted_in_one_scan(large, sample_dir):
+    for name in ("prod_price_histogram", "prod_price_quartiles", "prod_price_quantiles"):
+        assert scans(plan_of(large, sample_dir, name), "part") <= 1, name
+
+
 def test_filters_and_columns_reach_the_scan(large, sample_dir):
     plan = plan_of(large, sample_dir, "cj_total_time_per_event")
     assert "In(event_type, [click,error,signup,view])" in plan
