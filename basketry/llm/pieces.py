@@ -7,7 +7,7 @@ from struct import pack
 import regex
 
 #: Bytes a worker's caches take at most, roughly, where not told otherwise; full ones are emptied.
-CACHE_BYTES = 64 * 1024**2
+CACHE_BYTES = 256 * 1024**2
 #: What an entry takes besides its text and ids.
 ENTRY_BYTES = 230
 #: Longer pieces of several matches hardly ever occur twice.
