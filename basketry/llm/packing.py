@@ -34,12 +34,12 @@ from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
 from basketry.llm.common import in_worker
-from basketry.llm.pieces import PieceEncoder
+from basketry.llm.pieces import CACHE_BYTES, PieceEncoder
 
 
 class _Pieces(PieceEncoder):
-    def __init__(self, tokenizer_file: str, pattern: str, added_tokens: bool):
-        super().__init__(pattern)
+    def __init__(self, tokenizer_file: str, pattern: str, added_tokens: bool, cache_bytes: int = CACHE_BYTES):
+        super().__init__(pattern, cache_bytes)
         self.tokenizer = Tokenizer.from_str(tokenizer_file)
         added = self.tokenizer.get_added_tokens_decoder() if added_tokens else {}
         self.added = {token.content: number for number, token in added.items() if token.content}
@@ -76,10 +76,8 @@ class _Pieces(PieceEncoder):
         return b"".join(parts)
 
 
-def _pieces(tokenizer_file: str, pattern: str, added_tokens: bool) -> _Pieces:
-    return in_worker(
-        (tokenizer_file, pattern, added_tokens), lambda: _Pieces(tokenizer_file, pattern, added_tokens)
-    )
+def _pieces(*form) -> _Pieces:
+    return in_worker(form, lambda: _Pieces(*form))
 
 
 class Tokens:
@@ -88,20 +86,28 @@ class Tokens:
     ``pattern`` is the one by which that tokenizer cuts texts before merging; every text is
     followed by ``end_id``. With ``added_tokens`` the added tokens of the file get their
     ids where a text holds them, as by the library's default; without, they are ordinary
-    text.
+    text. ``cache_bytes`` is what a worker remembers of pieces seen: less costs time only.
     """
 
-    def __init__(self, spark: SparkSession, path: str, pattern: str, end_id: int, added_tokens: bool = False):
+    def __init__(
+        self,
+        spark: SparkSession,
+        path: str,
+        pattern: str,
+        end_id: int,
+        added_tokens: bool = False,
+        cache_bytes: int = CACHE_BYTES,
+    ):
         with open(path, encoding="utf-8") as file:
             self.file = spark.sparkContext.broadcast(file.read())
-        self.pattern, self.added_tokens = pattern, added_tokens
+        self.pattern, self.added_tokens, self.cache_bytes = pattern, added_tokens, cache_bytes
         self.end = np.array([end_id], "<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if not text:
             return self.end
-        return _pieces(self.file.value, self.pattern, self.added_tokens).encode_all(text) + self.end
+        return _pieces(self.file.value, self.pattern, self.added_tokens, self.cache_bytes).encode_all(text) + self.end
 
 
 def tokenize(text: Column, tokens: Tokens) -> Column:
