@@ -9,7 +9,7 @@ with scores of plain tokens and of neighbouring types, dynamic programming over
 entities of bounded length finds the best segmentation, boundaries and types at once.
 What it finds beside base spans is added.
 
-The field is trained by maximum likelihood on a bounded sample of windows. Their base
+The field is trained by maximum likelihood on a bounded sample of all windows. Their base
 spans are the truth; copies with spans rewritten in other common forms (written-out
 at and dot, numbers without a plus or with other separators) are truth as well, so it
 learns the forms from whole-span features rather than from the patterns alone.
@@ -21,13 +21,18 @@ or none of a type in the sample, nothing of that type is added.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from basketry.llm.common import forget, keep
+
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS, MAX_CHARS = 14, 80
 
@@ -361,43 +366,68 @@ def train(texts: list[str], passes: int = 12, rate: float = 0.5, decay: float =
     return model
 
 
-def learn(
-    docs: DataFrame, id_column: str, text_column: str, max_documents: int = 4_000, max_windows: int = 60
-) -> Model:
-    """Train on windows of at most ``max_documents`` documents, chosen by hash of the id.
-
-    At most ``max_windows`` windows of each type, and twice as many without base spans.
+def _least_windows(
+    batches: Iterator[pa.RecordBatch], most: dict[str, int], longest: int = 400
+) -> Iterator[pa.RecordBatch]:
+    """Of each type the windows of a task with the least hashes, at most ``most`` of them."""
+    held: dict[str, dict[str, int]] = {kind: {} for kind in most}
+    bound = dict.fromkeys(most, 2**63)
+    for batch in batches:
+        for text in batch.column(0):
+            text = text.as_py() or ""
+            for start, end in windows(text):
+                window = text[start:end]
+                if len(window) > longest:
+                    continue
+                mark = xxhash.xxh3_64_intdigest(window) - 2**63
+                if mark >= max(bound.values()):
+                    continue
+                kind = min({k for _, _, k in base_spans(window)}, key=KINDS.index, default="none")
+                if mark < bound[kind]:
+                    held[kind][window] = mark
+                    if len(held[kind]) >= 2 * most[kind]:
+                        held[kind] = dict(sorted(held[kind].items(), key=lambda w: w[::-1])[: most[kind]])
+                        bound[kind] = max(held[kind].values()) + 1
+    rows = [
+        (kind, *pair)
+        for kind, own in held.items()
+        for pair in sorted(own.items(), key=lambda w: w[::-1])[: most[kind]]
+    ]
+    kinds, texts, marks = zip(*rows) if rows else ([], [], [])
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(kinds, pa.string()), pa.array(texts, pa.string()), pa.array(marks, pa.int64())],
+        names=["kind", "window", "mark"],
+    )
+
+
+def learn(docs: DataFrame, id_column: str, text_column: str, max_windows: int = 60) -> Model:
+    """Train on windows of all documents, a bounded number of them chosen by hash.
+
+    At most ``max_windows`` different windows of each type, and twice as many without base
+    spans; so a type that stands in few documents is learned as well. One pass over the
+    documents, each task keeps as many windows.
     """
-    chosen = docs.select(F.col(id_column).alias("id")).where("id is not null").distinct()
-    chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(max_documents)
-    # Broadcast: at most max_documents ids.
-    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    texts = texts.join(F.broadcast(chosen), "id").select("text")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text in batch.column(0).to_pylist():
-                for start, end in windows(text or ""):
-                    window = text[start:end]
-                    if len(window) <= 400:
-                        kinds = {kind for _, _, kind in base_spans(window)}
-                        rows.append((min(kinds, key=KINDS.index, default="none"), window))
-            columns = list(zip(*rows)) or [[], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["kind", "window"])
-
-    found = texts.mapInArrow(cut, "kind string, window string").distinct()
+    most = {kind: max_windows for kind in KINDS} | {"none": 2 * max_windows}
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _least_windows(batches, most)
+
+    texts = docs.where(F.col(id_column).isNotNull()).select(F.col(text_column).alias("text"))
+    found = keep(texts.mapInArrow(least, "kind string, window string, mark long"), "windows")
     sample: list[str] = []
-    for kind in (*KINDS, "none"):
-        most = max_windows * (2 if kind == "none" else 1)
-        rows = found.where(F.col("kind") == kind).orderBy(F.xxhash64("window"), "window").limit(most)
+    for kind, count in most.items():
+        rows = found.where(F.col("kind") == kind).distinct().orderBy("mark", "window").limit(count)
         sample += [r["window"] for r in rows.collect()]
+    forget(found)
     return train(sample)
 
 
 def all_spans(text: str, model: Model) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and all spans: what the field finds beside them is added."""
     base = base_spans(text)
+    # Base spans by start, and how far the spans up to each of them reach.
+    ordered = sorted((s, e) for s, e, _ in base)
+    starts, reach = [s for s, _ in ordered], list(accumulate((e for _, e in ordered), max))
     added = []
     for start, end in windows(text):
         at = lattice(text, start, end)
@@ -405,7 +435,8 @@ def all_spans(text: str, model: Model) -> tuple[list[tuple[int, int, str]], list
             continue
         for first, last, kind in model.best(at):
             place = at.tokens[first][0], at.tokens[last - 1][1]
-            if all(place[1] <= s or e <= place[0] for s, e, _ in base if s < end and start < e):
+            before = bisect_left(starts, place[1])
+            if not before or reach[before - 1] <= place[0]:
                 added.append((*place, kind))
     return base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2])))
 

@@ -120,6 +120,32 @@ def test_clean_texts_are_left_alone(model):
         assert added(text, model) == []
 
 
+def test_added_spans_are_those_that_overlap_no_base_span(model):
+    text = " ".join(
+        f"call ({200 + i}) 555-{1000 + i} or +1 {200 + i} 555 {2000 + i}, a{i}@b.org at 10.0.{i}.1 or 4012888888881881 5{i}"
+        for i in range(150)
+    )
+    base, spans = pii.all_spans(text, model)
+    found = []
+    for start, end in pii.windows(text):
+        at = pii.lattice(text, start, end)
+        found += [(at.tokens[a][0], at.tokens[b - 1][1], k) for a, b, k in model.best(at)] if at.segments else []
+    free = [f for f in found if all(f[1] <= s or e <= f[0] for s, e, _ in base)]
+    assert free and len(free) < len(found)
+    assert sorted(spans) == sorted(base + free)
+
+
+def test_rare_types_are_learned_from_all_documents(spark, documents, monkeypatch):
+    texts = spark.range(20_000).selectExpr(
+        "id AS doc_id", "if(id = 13579, 'dial +1 523 555 7040 now', concat('ip 10.0.', id % 250, '.', id % 7)) AS text"
+    )
+    monkeypatch.setattr(pii, "train", lambda windows: windows)
+    sample = pii.learn(texts.repartition(5), "doc_id", "text", max_windows=20)
+    assert sum("+1 523" in w for w in sample) == 1
+    assert len(sample) == 21 and len(set(sample)) == 21
+    assert sorted(pii.learn(texts.repartition(2), "doc_id", "text", max_windows=20)) == sorted(sample)
+
+
 def test_awkward_rows(awkward, nothing):
     for docs, count in ((awkward, 10), (nothing, 0)):
         own = pii.learn(docs, "doc_id", "text")
