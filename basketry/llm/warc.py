@@ -1,9 +1,9 @@
 """WARC archives: a writer that refers back to equal payloads, and a splittable reader.
 
 The writer makes one gzip member per record and one file per task (more if files
-grow past ``archive_bytes``), in a folder all executors share. A file is written
-under a name of its own and moved to its final name when complete, so a task that
-runs twice leaves the same archive. Of records with equal payloads of at least
+grow past ``archive_bytes``), in a folder all executors share. Every attempt of a
+task writes files of its own names; the table of archives, which Spark commits once,
+names those of the attempt that counts. Of records with equal payloads of at least
 ``min_bytes``, that with the largest id is a response and the others are revisits
 that name it; they hold the HTTP headers only, with the full payload's length.
 
@@ -127,18 +127,19 @@ def write_archives(
         store, root = _store(folder)
         store.create_dir(root, recursive=True)
         task = TaskContext.get().partitionId()
+        attempt = uuid.uuid4().hex
         out, done = None, []
 
         def close() -> None:
             out.close()
-            final = f"part-{task:06d}-{len(done):04d}.warc.gz"
+            final = f"part-{task:06d}-{len(done):04d}-{attempt}.warc.gz"
             store.move(own, f"{root}/{final}")
             done.append((f"{folder}/{final}", size, count))
 
         for batch in batches:
             for row in batch.to_pylist():
                 if out is None:
-                    own = f"{root}/.writing-{uuid.uuid4().hex}"
+                    own = f"{root}/.writing-{attempt}-{len(done)}"
                     out, size, count = store.open_output_stream(own), 0, 0
                 member = _member(
                     record(row["key"], row["uri"], row["payload"], row["revisits"], row["kept"])
@@ -170,10 +171,12 @@ class _Window:
         self.data, self.base = b"", position  # the block that begins at base
 
     def has(self, position: int, count: int) -> bytes:
-        """Up to ``count`` bytes at a position not before the current one; b"" at the end."""
+        """Up to ``count`` bytes at a position; b"" at the end. What is before may be let go."""
+        if position < self.base:  # let go of already, for a member that proved to be none
+            self.data, self.base = b"", position
         if position + count > self.base + len(self.data):
-            self.data = self.data[self.position - self.base :]
-            self.base = self.position
+            self.data = self.data[position - self.base :]
+            self.base = position
             while position + count > self.base + len(self.data):
                 block = self.file.read_at(max(_BLOCK, count), self.base + len(self.data))
                 if not block:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import random
 
 import pytest
 
@@ -84,3 +85,26 @@ def test_foreign_bytes_are_skipped_and_damage_is_noticed():
     assert [c for _, c in warc.members(File(data), 0, len(data))] == [good]
     with pytest.raises(ValueError, match="digest"):
         warc.parse(good.replace(b"text", b"next"))
+
+
+def test_two_attempts_of_a_task_do_not_mix(spark, tmp_path, monkeypatch):
+    prepare(spark)
+    monkeypatch.setattr(warc, "new_path", lambda *_: str(tmp_path / "same"))
+    rows = [(i, "u", f"page {i} " * (i + 1), 0, "") for i in range(40)]
+    tables = []
+    for part in (rows, rows[::-1]):  # as two attempts that read their rows in another order
+        pages = spark.createDataFrame(part, PAGES).coalesce(1)
+        tables.append(warc.write_archives(pages, "page_id", "url", "html", archive_bytes=700))
+    for archives in tables:
+        assert archives.count() > 3
+        assert sorted(r.key for r in warc.read_archives(archives).select("key").collect()) == list(range(40))
+
+
+def test_long_members_are_not_held_twice():
+    payload = random.Random(1).randbytes(6 * warc._BLOCK)
+    data = warc._member(warc.record(1, "u", payload, False, None)) + warc._member(warc.record(2, "u", b"x", False, None))
+    window = warc._Window(File(data), 0)
+    content, length = warc._decode(window)
+    assert content.endswith(payload + b"\r\n\r\n")
+    assert len(window.data) <= 2 * warc._BLOCK
+    assert [c[0] for c in warc.members(File(data), 0, len(data))] == [0, length]
