@@ -353,8 +353,13 @@ def learn(
     sample = single.where("toxic").orderBy(*order).limit(max_positive)
     sample = sample.unionAll(single.where("not toxic").orderBy(*order).limit(max_negative))
     # Broadcast: at most max_positive + max_negative rows of two numbers and a label.
-    texts = texts.join(F.broadcast(sample), "doc").where(_prints(F.col("text"))["content"] == F.col("content"))
-    texts = keep(texts.select("text", "toxic"), "distinct-labelled")
+    chosen = texts.join(F.broadcast(sample), "doc")
+    # A text is hashed once its row is chosen: what names columns of both sides stays above the join.
+    content = _prints(F.when(F.col("toxic").isNotNull(), F.col("text")))["content"]
+    chosen = chosen.where(content == F.col("content"))
+    # Rows that repeat id and text count as one.
+    chosen = chosen.groupBy("doc", "content", "toxic").agg(F.any_value("text").alias("text"))
+    texts = keep(chosen.select("text", "toxic"), "distinct-labelled")
     forget(single)
     total = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     positive, negative = total.get(True, 0), total.get(False, 0)

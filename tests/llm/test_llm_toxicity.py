@@ -148,3 +148,13 @@ def test_all_significant_terms_are_learned(spark, documents):
     model = toxicity.learn(documents(*texts), labels, "doc_id", "text", "toxic")
     scorer = toxicity.Scorer(model.terms, model.worth)
     assert all(scorer.features(word)[1] for word in bad)
+
+
+def test_repeated_rows_are_learned_from_once(spark, documents):
+    texts = [f"{'you awful snark' if i % 3 == 0 else 'a fine day'} word{i} and thing{i * 7}" for i in range(60)]
+    docs = documents(*texts)
+    labels = spark.createDataFrame([(i + 1, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    hot = docs.where("doc_id = 2").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(300)))).drop("copy")
+    once = toxicity.learn(docs, labels, "doc_id", "text", "toxic")
+    again = toxicity.learn(docs.unionAll(hot), labels, "doc_id", "text", "toxic")
+    assert once.terms == again.terms and once.weights == pytest.approx(again.weights)
