@@ -39,17 +39,19 @@ class PieceEncoder:
                 self.room = self.cache_bytes
             cache[key] = ids
 
+    def new(self, cache: dict[str, bytes], key: str, match: str) -> bytes:
+        ids = self.encode_match(match)
+        found = pack(f"<{len(ids)}i", *ids)
+        if key:  # a lone space is no lead of an empty piece
+            self.remember(cache, key, found)
+        return found
+
     def encode_matches(self, matches: list[str]) -> bytes:
         parts = []
         for match in matches:
             cache, key = (self.later, match[1:]) if match[0] == " " else (self.first, match)
             found = cache.get(key) if key else None
-            if found is None:
-                ids = self.encode_match(match)
-                found = pack(f"<{len(ids)}i", *ids)
-                if key:  # a lone space is no lead of an empty piece
-                    self.remember(cache, key, found)
-            parts.append(found)
+            parts.append(self.new(cache, key, match) if found is None else found)
         return b"".join(parts)
 
     def encode(self, text: str) -> bytes:
@@ -62,13 +64,31 @@ class PieceEncoder:
         found = [self.first.get(first), *map(self.later.get, later)]
         if None not in found:
             return b"".join(found)
-        for i, ids in enumerate(found):
-            if ids is None:
-                piece = later[i - 1] if i else first
-                if not piece or piece[-1].isspace():  # several spaces: not a place to cut
-                    return self.encode_matches(self.split.findall(text))
-                matches = self.split.findall(" " + piece if i else piece)
-                found[i] = ids = self.encode_matches(matches)
-                if len(matches) > 1 and len(piece) <= SHORT:
-                    self.remember(self.later if i else self.first, piece, ids)
+        missed = [i for i, ids in enumerate(found) if ids is None]
+        pieces = [later[i - 1] if i else first for i in missed]
+        if "" in pieces or any(piece[-1].isspace() for piece in pieces):
+            return self.encode_matches(self.split.findall(text))  # several spaces: not a place to cut
+        if not missed[0]:
+            found[0] = self.encode_matches(self.split.findall(first))
+            if len(first) <= SHORT:
+                self.remember(self.first, first, found[0])
+            missed, pieces = missed[1:], pieces[1:]
+        # One search for all pieces: a space starts a piece's first match, and no other.
+        if pieces:
+            groups: list[list[bytes]] = []
+            for match in self.split.findall(" " + " ".join(pieces)):
+                if match[0] == " ":
+                    key = match[1:]
+                    ids = self.later.get(key) if key else None
+                    groups.append([self.new(self.later, key, match) if ids is None else ids])
+                else:
+                    ids = self.first.get(match)
+                    groups[-1].append(self.new(self.first, match, match) if ids is None else ids)
+            for i, piece, parts in zip(missed, pieces, groups):
+                if len(parts) == 1:
+                    found[i] = parts[0]
+                else:
+                    found[i] = ids = b"".join(parts)
+                    if len(piece) <= SHORT:
+                        self.remember(self.later, piece, ids)
         return b"".join(found)
