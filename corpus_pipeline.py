@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from basketry.llm import jaccard, line_dedup, pii
 from basketry.llm import toxicity as toxic_language
-from basketry.llm.common import keep, prepare
+from basketry.llm.common import forget, keep, prepare
 from basketry.llm.queries import packed, table, toxicity_model
 
 
@@ -68,7 +68,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each on what the one before it kept."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            forget(before)  # the last one's table stays: the result reads it
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
