@@ -14,9 +14,12 @@ to several tasks; there can only be as many of them as shares.
 Keys found in at least two documents stay only in the least document that holds
 them; there, and in documents without such keys, all lines stay, in order.
 
-Null and empty texts are one empty line, whose key is too short to go. Rows that
-repeat an id are one document: a key they alone hold stays in all of them. Rows
-with a null id are together one document behind all others. Two different keys
+Null and empty texts are one empty line, whose key is too short to go. Very long texts
+are hashed line by line like others. Rows that repeat an id are one document: a key they
+alone hold stays in all of them. Rows with a null id are together one document behind all
+others. What is to be dropped comes back by id and hash of the text, so that no task gets
+the lines of all rows with one id. Columns of the input may have any names, they travel
+inside ``row``. Two different keys
 with equal hashes (of 128 bits) would be taken for one; that is not to be expected
 below 10^15 lines. An empty table gives no rows.
 """
@@ -131,22 +134,23 @@ def _uint64(column: pa.Array) -> np.ndarray:
 
 
 def _document_keys(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc, high, low): the distinct keys of each row."""
+    """(doc, part, high, low): the distinct keys of each row (doc, part, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs_out, keys_out = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            counts, keys_out = [], []
+            for text in batch.column("text").to_pylist():
                 keys = {key for key in keys_of(text, min_chars) if key}
-                docs_out += [doc] * len(keys)
+                counts.append(len(keys))
                 keys_out += keys
             halves = np.frombuffer(b"".join(keys_out), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(docs_out, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1])],
-                names=["doc", "high", "low"],
+                [pa.array(np.repeat(batch.column(c).to_numpy(), counts)) for c in ("doc", "part")]
+                + [pa.array(halves[:, 0]), pa.array(halves[:, 1])],
+                names=["doc", "part", "high", "low"],
             )
 
-    return docs.mapInArrow(run, "doc long, high long, low long")
+    return docs.mapInArrow(run, "doc long, part long, high long, low long")
 
 
 def _shards(distinct: DataFrame, shards: int) -> DataFrame:
@@ -186,9 +190,10 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(doc[drop]),
+                    part.column("part").filter(pa.array(drop)),
                     pa.array([keys[i : i + 16] for i in range(0, len(keys), 16)], pa.binary()),
                 ],
-                names=["doc", "key"],
+                names=["doc", "part", "key"],
             )
 
 
@@ -210,9 +215,12 @@ def dedup_lines(df: DataFrame, id_column: str, text_column: str, min_chars: int
     docs = df.select(
         F.struct("*").alias("row"),
         F.coalesce(F.col(id_column).cast("long"), F.lit(_LAST)).alias("doc"),
+        # What goes from a row follows from its document and text: rows of one id (or none)
+        # are told apart by a hash of the text, so they never gather by their id.
+        F.xxhash64(text_column).alias("part"),
         F.col(text_column).alias("text"),
     )
-    keys = keep(_document_keys(docs.select("doc", "text"), min_chars), "line-keys")
+    keys = keep(_document_keys(docs.select("doc", "part", "text"), min_chars), "line-keys")
     distinct = keep(
         keys.groupBy("high", "low")
         .agg(F.count("*").alias("docs"), F.min("doc").alias("least"), F.max("doc").alias("most"))
@@ -239,17 +247,18 @@ def dedup_lines(df: DataFrame, id_column: str, text_column: str, min_chars: int
         .select("shard", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("copy"), "blob")
     )
     probes = (
-        keys.select("doc", "high", "low", by_shard)
+        keys.select("doc", "part", "high", "low", by_shard, F.monotonically_increasing_id().alias("nth"))
         .join(heavy, "shard", "left")
-        .select("shard", F.pmod(F.xxhash64("doc"), copies).alias("copy"), "doc", "high", "low")
+        .select("shard", F.pmod(F.xxhash64("nth"), copies).alias("copy"), "doc", "part", "high", "low")
     )
     dropped = (
         arrays.unionByName(probes, allowMissingColumns=True)
         .repartition("shard", "copy")
         .sortWithinPartitions("shard", "copy", F.col("blob").isNull())
-        .mapInArrow(_probe, "doc long, key binary")
+        .mapInArrow(_probe, "doc long, part long, key binary")
     )
-    per_doc = keep(dropped.groupBy("doc").agg(F.collect_list("key").alias("gone")), "lines-dropped")
+    # A set holds the lines of one text, however many rows repeat it.
+    per_text = keep(dropped.groupBy("doc", "part").agg(F.collect_set("key").alias("gone")), "lines-dropped")
     forget(keys)
     forget(distinct)
 
@@ -257,5 +266,5 @@ def dedup_lines(df: DataFrame, id_column: str, text_column: str, min_chars: int
     def without(texts: pa.Array, gone: pa.Array) -> pa.Array:
         return _without(texts, gone, min_chars)
 
-    result = docs.join(per_doc, "doc", "left").select("row", without("text", "gone").alias("done"))
+    result = docs.join(per_text, ["doc", "part"], "left").select("row", without("text", "gone").alias("done"))
     return result.select("row", "done.kept", "done.n_lines", "done.n_dropped")

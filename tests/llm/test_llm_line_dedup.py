@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from basketry.llm import line_dedup, queries
+from basketry.llm.common import keep
 
 UPPER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 
@@ -55,6 +56,27 @@ def test_repeated_rows_and_null_ids(documents):
     assert [r.n_dropped for r in done] == [1]
 
 
+def test_rows_without_an_id_do_not_gather(spark, documents, monkeypatch):
+    """A third of all rows has no id: dropped lines come back row by row, probes of a common line are dealt."""
+    texts = [f"the same line everywhere\nline {i} of its own only\nline {i % 90} of some of them" for i in range(300)]
+    docs = documents(*texts).selectExpr("if(doc_id % 3 = 0, null, doc_id) doc_id", "text", "1 part", "2 nth")
+    kept = {}
+    monkeypatch.setattr(line_dedup, "keep", lambda df, name: kept.setdefault(name, keep(df, name)))
+    monkeypatch.setattr(line_dedup, "forget", lambda df: None)
+    rows = [((1 << 63) - 1 if r.doc_id is None else r.doc_id, r.text) for r in docs.collect()]
+    done = line_dedup.dedup_lines(docs, "doc_id", "text")
+    done = done.selectExpr("coalesce(row.doc_id, 9223372036854775807L)", "n_lines", "n_dropped", "kept")
+    assert sorted(map(tuple, done.collect())) == sorted(brute(rows))
+    assert max(len(r.gone) for r in kept["lines-dropped"].collect()) <= 3
+
+
+def test_a_row_repeated_very_often_is_probed_by_several_tasks(spark, documents):
+    docs = documents("an earlier holder of it", first=0).unionAll(
+        documents(*["an earlier holder of it"] * 500).selectExpr("7L doc_id", "text", "lang", "source", "n_chars", "row", "doc", "ids")
+    )
+    assert [r[2] for r in got(docs)] == [0] + [1] * 500
+
+
 def test_a_very_common_line_is_copied_to_several_tasks(spark, documents):
     docs = documents(*(f"the same line everywhere\nline number {i} of its own" for i in range(600)))
     assert sum(r[2] for r in got(docs)) == 599
