@@ -39,6 +39,8 @@ from basketry.llm.common import connected_components, forget, keep
 
 #: Hash buckets whose counts order the shingles (as a power of two), a table of 2 MB.
 SKETCH_BITS = 18
+#: A shingle in a bucket with more than this many, and more than 16 times the mean, is dealt to slots.
+SLOT_ENTRIES = 200_000
 #: Hash buckets that tell which documents a comparison needs, a bit each.
 FILTER_BITS = 22
 
@@ -133,8 +135,21 @@ def _prefixes(docs: DataFrame, words: int, percent: int, counts) -> DataFrame:
     return docs.mapInArrow(run, "doc long, size long, high long, low long, grp long, prefix binary")
 
 
-def _entries(groups: DataFrame) -> DataFrame:
-    """(token, grp, size, pos): a row for each shingle of a group's prefix."""
+def _slots(counts: np.ndarray) -> np.ndarray:
+    """In how many slots the groups of a bucket's shingles are dealt; 0: together.
+
+    A slot has about as many entries as 16 buckets, so there are at most 16,384 of them
+    beyond one per bucket, and a task's slot is a small part of any large table.
+    """
+    most = max(SLOT_ENTRIES, 16 * int(counts.sum()) // len(counts))
+    return np.where(counts > most, -(-counts // most), 0)
+
+
+def _entries(groups: DataFrame, slots) -> DataFrame:
+    """(token, grp, size, pos, slot): a row for each shingle of a group's prefix.
+
+    Slot 0 is that of all shingles which are not very frequent.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,14 +160,16 @@ def _entries(groups: DataFrame) -> DataFrame:
             pos = np.arange(len(tokens)) - starts
             grp = np.repeat(batch.column("grp").to_numpy(), lengths)
             size = np.repeat(batch.column("size").to_numpy(), lengths)
+            dealt = slots.value[_buckets(tokens.view(np.uint64))]
+            slot = np.where(dealt > 0, 1 + grp % np.maximum(dealt, 1), 0)
             for at in range(0, len(tokens), 100_000):
                 part = slice(at, at + 100_000)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x[part]) for x in (tokens, grp, size, pos)],
-                    names=["token", "grp", "size", "pos"],
+                    [pa.array(x[part]) for x in (tokens, grp, size, pos, slot)],
+                    names=["token", "grp", "size", "pos", "slot"],
                 )
 
-    return groups.mapInArrow(run, "token long, grp long, size long, pos long")
+    return groups.mapInArrow(run, "token long, grp long, size long, pos long, slot long")
 
 
 def _index_column(size: str, percent: int) -> Column:
@@ -172,8 +189,13 @@ def _fits(a: str, b: str, percent: int) -> Column:
 
 
 def _shared(entries: DataFrame, percent: int) -> DataFrame:
-    """Entries whose shingle several groups have, with the indexed group before (``ahead``)."""
-    order = Window.partitionBy("token").orderBy("size", "grp")
+    """Entries whose shingle several groups have, with the indexed group before (``ahead``).
+
+    Groups of a very frequent shingle are looked at slot by slot, so no task gets all of
+    them: ``ahead`` is then the one before in the slot, and an entry alone in its slot stays.
+    Both only tell the first round what to try; the second finds all links whatever they are.
+    """
+    order = Window.partitionBy("token", "slot").orderBy("size", "grp")
     entry = F.when(F.col("pos") < _index_column("size", percent), F.struct("grp", "size", "pos"))
     rows = entries.select(
         "*",
@@ -182,7 +204,7 @@ def _shared(entries: DataFrame, percent: int) -> DataFrame:
         F.lead("grp").over(order).alias("after"),
     )
     ahead = F.when(_fits("", "p.", percent), F.col("p.grp")).alias("ahead")
-    return rows.where("before is not null or after is not null").select("token", "grp", "size", "pos", ahead)
+    return rows.where("before is not null or after is not null or slot > 0").select("token", "grp", "size", "pos", ahead)
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -280,6 +302,7 @@ def similar_documents(
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     found = buckets.toArrow()  # at most 2^18 rows, whatever the input
     counts[found["bucket"].to_numpy()] = found["count"].to_numpy()
+    slots = spark.sparkContext.broadcast(_slots(counts))
     counts = spark.sparkContext.broadcast(counts)
 
     prefixes = keep(_prefixes(docs, words, percent, counts), "prefixes")
@@ -294,7 +317,7 @@ def similar_documents(
         .join(lead, ["doc", "high", "grp"], "left_semi")
         .dropDuplicates(["doc", "high", "grp"])
     )
-    shared = keep(_shared(_entries(chosen.select("grp", "size", "prefix")), percent), "entries")
+    shared = keep(_shared(_entries(chosen.select("grp", "size", "prefix"), slots), percent), "entries")
 
     # First round: each group with the one before it and the most central one among
     # those it shares shingles with, and each set of a group with its first. Central is

@@ -80,6 +80,33 @@ def test_equal_prefixes_with_different_rests(documents, monkeypatch):
     assert len(got(docs)) == 30
 
 
+def test_groups_of_a_hot_shingle_are_dealt_to_slots(documents, monkeypatch):
+    """A third of the documents carries one passage: with slots of few entries, links are the same."""
+    draw = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(30))
+    base = [f"w{i}" for i in range(60)]
+    texts = [passage + " " + " ".join(f"x{draw.random()}" for _ in range(8)) for _ in range(40)]
+    texts += [edited(base, draw.randrange(4), draw) for _ in range(40)]
+    texts += [" ".join(f"y{draw.random()}" for _ in range(30)) for _ in range(40)]
+    docs = documents(*texts)
+    want = brute([(r.doc_id, r.text) for r in docs.collect()])
+    tables = {}
+    monkeypatch.setattr(jaccard, "SLOT_ENTRIES", 5)
+    entries = jaccard._entries
+    monkeypatch.setattr(jaccard, "_entries", lambda *args: tables.setdefault("entries", entries(*args)))
+    assert got(docs) == want
+    slots = tables["entries"].groupBy("token", "slot").count().collect()
+    assert max(r.slot for r in slots) > 3 and max(r["count"] for r in slots) < 40
+
+
+def test_slots_are_few_at_any_size():
+    counts = jaccard.np.random.default_rng(1).integers(0, 2_000_000, 1 << jaccard.SKETCH_BITS)
+    counts[7] = 40 * int(counts.sum())
+    slots = jaccard._slots(counts)
+    assert slots[7] > 10_000 and slots.sum() - slots[7] == 0
+    assert not jaccard._slots(counts // 10**9).any()
+
+
 def test_awkward_rows(awkward, nothing):
     rows = [(r.doc_id, r.text) for r in awkward.collect()]
     assert got(awkward) == brute(rows)
