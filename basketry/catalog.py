@@ -147,6 +147,7 @@ QUERIES: dict[str, Query | Loading] = {
     "ord_per_month": Query(orders.per_month, _until_orders),
     "ord_per_quarter": Query(orders.per_quarter, _until_orders),
     "ord_per_year": Query(orders.per_year, _until_orders),
+    "ord_page": Query(orders.page, _until_orders),
     "ord_avg_per_customer": Query(orders.avg_per_customer),
     "ord_cancelled": Query(orders.cancelled),
     "ord_max_per_customer": Query(orders.max_per_customer),
@@ -164,6 +165,7 @@ QUERIES: dict[str, Query | Loading] = {
     "abn_per_month": Query(abandoned.per_month, _until_orders),
     "abn_per_quarter": Query(abandoned.per_quarter, _until_orders),
     "abn_per_year": Query(abandoned.per_year, _until_orders),
+    "abn_page": Query(abandoned.page, _until_orders),
     "abn_avg_per_customer": Query(abandoned.avg_per_customer),
     "abn_max_per_customer": Query(abandoned.max_per_customer),
     "abn_by_referring_site": Query(abandoned.by_referring_site),
@@ -194,5 +196,6 @@ QUERIES: dict[str, Query | Loading] = {
     "rev_per_month": Query(revenue.per_month),
     "rev_per_quarter": Query(revenue.per_quarter),
     "rev_per_year": Query(revenue.per_year),
+    "rev_page": Query(revenue.page),
     "rev_by_referring_site": Query(revenue.by_referring_site),
 }

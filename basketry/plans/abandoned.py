@@ -77,6 +77,14 @@ def per_year(abandoned: DataFrame, as_of: dt.date | None = None) -> DataFrame:
     return series.by_year(per_day(abandoned, as_of=as_of), "day", "abandoned_count")
 
 
+@requires(abandoned=_TIMED)
+def page(abandoned: DataFrame, as_of: dt.date | None = None) -> DataFrame:
+    """All calendar profiles of abandoned checkouts from one pass, see :func:`profiles.page`."""
+    return profiles.page(
+        order_times(abandoned), "Order_Created_At", "abandoned_count", gap_free=True, as_of=as_of
+    )
+
+
 @requires(abandoned=_PER_CUSTOMER)
 def avg_per_customer(abandoned: DataFrame) -> DataFrame:
     """Mean number of abandoned orders per customer, decimals cut off."""

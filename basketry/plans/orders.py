@@ -88,6 +88,14 @@ def per_year(orders: DataFrame, as_of: dt.date | None = None) -> DataFrame:
     return series.by_year(per_day(orders, as_of=as_of), "day", "order_count")
 
 
+@requires(orders=_TIMED)
+def page(orders: DataFrame, as_of: dt.date | None = None) -> DataFrame:
+    """All calendar profiles of orders from one pass, see :func:`profiles.page`."""
+    return profiles.page(
+        order_times(orders), "Order_Created_At", "order_count", gap_free=True, as_of=as_of
+    )
+
+
 @requires(orders=("Customer_ID", "Order_ID"))
 def avg_per_customer(orders: DataFrame) -> DataFrame:
     """Mean number of distinct orders per customer."""

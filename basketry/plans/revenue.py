@@ -109,6 +109,14 @@ def per_year(orders: DataFrame) -> DataFrame:
     return series.by_year(per_day(orders), "day", "Order_Total_Price")
 
 
+@requires(orders=_TIMED)
+def page(orders: DataFrame) -> DataFrame:
+    """All calendar profiles of revenue from one pass, see :func:`profiles.page`."""
+    return profiles.page(
+        _timed_revenue(orders), "Order_Created_At", "Order_Total_Price", F.col("Order_Total_Price")
+    )
+
+
 @requires(orders=("Order_ID", "Order_Referring_Site", "Order_Total_Price", ORDER))
 def by_referring_site(orders: DataFrame, n: int = 5) -> DataFrame:
     """Revenue per referring site, top n; orders without a site are left out."""

@@ -8,10 +8,9 @@ SHOWN = """Order_ID, Customer_ID, Customer_Name,
        Order_Created_At, Order_Cancelled_At, Order_Referring_Site,
        Product_ID, Product_Name, Product_Quantity"""
 
-_periods = t.per_period(
-    "SELECT CAST(Order_Created_At AS DATE) AS day, count(*) AS n FROM v_known GROUP BY 1",
-    "order_count", "2001-08-15",
-)
+_DAILY = "SELECT CAST(Order_Created_At AS DATE) AS day, count(*) AS n FROM v_known GROUP BY 1"
+
+_periods = t.per_period(_DAILY, "order_count", "2001-08-15")
 
 _FIRST = """
 SELECT Customer_Name, arg_min(Order_ID, row_order) AS Order_ID,
@@ -29,6 +28,10 @@ SQL = {
     "ord_by_weekday_name": t.by_weekday_name("v_known", "Order_Created_At"),
     "ord_by_hour": t.by_hour("v_known", "Order_Created_At", "Number_Of_Orders"),
     **{f"ord_per_{period}": sql for period, sql in _periods.items()},
+    "ord_page": t.page(
+        "v_known", "Order_Created_At", "1",
+        t.date_spine(_DAILY, "2001-08-15") + " SELECT day, n FROM spine", "order_count", "BIGINT",
+    ),
     "ord_avg_per_customer":
         f"SELECT round_even(avg(n), 2) AS average_orders_per_customer FROM ({_PER_CUSTOMER})",
     "ord_cancelled":

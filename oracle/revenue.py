@@ -51,6 +51,10 @@ SELECT CAST(hour AS INTEGER) AS Hour_Of_Day, CAST(amount AS DOUBLE) AS Total_Rev
 FROM summed""",
     "rev_per_day": _DAILY + "\nSELECT day, CAST(amount AS DOUBLE) AS Order_Total_Price FROM daily",
     **{f"rev_per_{period}": _DAILY + sql for period, sql in _periods.items()},
+    "rev_page": t.page(
+        "v_first", "Order_Created_At", "Order_Total_Price",
+        _DAILY + " SELECT day, amount AS n FROM daily WHERE day IS NOT NULL", "Order_Total_Price", "DOUBLE",
+    ),
     "rev_by_referring_site": """
 SELECT Order_Referring_Site, CAST(coalesce(sum(Order_Total_Price), 0) AS DOUBLE) AS Total_Revenue
 FROM v_first WHERE Order_Referring_Site IS NOT NULL GROUP BY Order_Referring_Site

@@ -177,15 +177,20 @@ LEFT JOIN (SELECT {ts} AS ts FROM {source}) s ON hour(s.ts) + 1 = h.hour
 GROUP BY h.hour"""
 
 
-def per_period(daily: str, name: str, as_of: str) -> dict[str, str]:
-    """Day, month, quarter and year sums of a daily query (day, n) on the date spine."""
-    spine = f"""
+def date_spine(daily: str, as_of: str) -> str:
+    """CTE ``spine``: a daily query (day, n) on all days up to a date."""
+    return f"""
 WITH daily AS ({daily}), spine AS (
   SELECT CAST(d.day AS DATE) AS day, coalesce(n, 0) AS n
   FROM (SELECT unnest(generate_series((SELECT min(day) FROM daily)::TIMESTAMP,
                                       TIMESTAMP '{as_of}', INTERVAL 1 DAY)) AS day) d
   LEFT JOIN daily ON daily.day = CAST(d.day AS DATE)
 )"""
+
+
+def per_period(daily: str, name: str, as_of: str) -> dict[str, str]:
+    """Day, month, quarter and year sums of a daily query (day, n) on the date spine."""
+    spine = date_spine(daily, as_of)
     return {"day": f"{spine}\nSELECT day, CAST(n AS BIGINT) AS {name} FROM spine",
             **{k: spine + v for k, v in period_sums("spine", "n", name, "BIGINT").items()}}
 
@@ -201,3 +206,30 @@ SELECT CAST(year(day) AS VARCHAR) || 'Q' || CAST(quarter(day) AS VARCHAR) AS qua
 FROM {source} GROUP BY ALL""",
         "year": f"\nSELECT CAST(year(day) AS INTEGER) AS year, {total} FROM {source} GROUP BY ALL",
     }
+
+
+def page(source: str, ts: str, amount: str, days: str, name: str, kind: str) -> str:
+    """All calendar profiles of a one-row-per-unit source; ``days`` is a query (day, n)."""
+    sums = "coalesce(sum(u.amount), 0)"
+    periods = {
+        "day": ("strftime(day, '%Y%m%d')", "strftime(day, '%Y-%m-%d')"),
+        "month": ("strftime(day, '%Y%m')", "strftime(day, '%Y-%m')"),
+        "quarter": ("10 * year(day) + quarter(day)", "year(day) || 'Q' || quarter(day)"),
+        "year": ("year(day)", "CAST(year(day) AS VARCHAR)"),
+    }
+    series = "\n".join(
+        f"UNION ALL SELECT '{profile}', CAST({position} AS BIGINT), {label}, sum(n) FROM days GROUP BY ALL"
+        for profile, (position, label) in periods.items()
+    )
+    return f"""
+WITH u AS (SELECT {ts} AS ts, {amount} AS amount FROM {source}), days AS ({days}), found AS (
+SELECT 'category' AS profile, CAST(c.position AS BIGINT) AS position, c.label, {sums} AS amount
+FROM (VALUES (0, 'Weekday'), (1, 'Weekend')) AS c(position, label)
+LEFT JOIN u ON c.position = CASE WHEN isodow(u.ts) >= 6 THEN 1 ELSE 0 END GROUP BY ALL
+UNION ALL SELECT 'weekday', number, name, {sums} FROM {DAY_NAMES}
+LEFT JOIN u ON isodow(u.ts) = number + 1 GROUP BY ALL
+UNION ALL SELECT 'hour', h.hour, CAST(h.hour AS VARCHAR), {sums} FROM range(1, 25) AS h(hour)
+LEFT JOIN u ON hour(u.ts) + 1 = h.hour GROUP BY ALL
+{series}
+)
+SELECT profile, position, label, CAST(amount AS {kind}) AS {name} FROM found"""

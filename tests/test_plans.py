@@ -107,6 +107,14 @@ def test_order_profiles_are_picked_by_hash_aggregates(large, sample_dir):
         assert "SortAggregate" not in plan_of(large, sample_dir, name), name
 
 
+def test_a_page_of_profiles_reads_what_one_profile_reads(large, sample_dir):
+    for page, single in (("ord_page", "ord_by_hour"), ("abn_page", "abn_by_hour"), ("rev_page", "rev_by_hour")):
+        plan, one = plan_of(large, sample_dir, page), plan_of(large, sample_dir, single)
+        for table in ("orders", "lineitem"):
+            assert scans(plan, table) == scans(one, table), (page, table)
+        assert "SortAggregate" not in plan, page
+
+
 def test_loaded_files_are_aggregated_by_hash(large, tmp_path):
     path = tmp_path / "orders.csv"
     path.write_text("Order_ID,Order_Created_At,Order_Total_Price\n#1,2024-01-01 10:00:00,5\n")

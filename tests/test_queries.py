@@ -43,6 +43,40 @@ def test_order_counts(order_lines, one):
     assert one(products.avg_per_customer(order_lines)) == 1.0  # 2, 0 and 1 products
 
 
+def test_a_page_of_profiles_equals_the_single_queries(order_lines):
+    until = dt.date(2024, 2, 2)
+
+    def profile(page, name, measure):
+        return {r.label: r[measure] for r in page.where(F.col("profile") == name).orderBy("position").collect()}
+
+    def single(df, key, measure):
+        return {str(r[key]): r[measure] for r in df.collect()}
+
+    found = orders.page(order_lines, as_of=until)
+    for name, query, key, measure in (
+        ("category", orders.weekday_weekend(order_lines), "Category", "Count"),
+        ("weekday", orders.by_weekday_name(order_lines), "Day", "Count"),
+        ("hour", orders.by_hour(order_lines), "Hour_Of_Day", "Number_Of_Orders"),
+        ("day", orders.per_day(order_lines, as_of=until), "day", "order_count"),
+        ("month", orders.per_month(order_lines, as_of=until), "month", "order_count"),
+        ("quarter", orders.per_quarter(order_lines, as_of=until), "quarter", "order_count"),
+        ("year", orders.per_year(order_lines, as_of=until), "year", "order_count"),
+    ):
+        want = single(query, key, measure)
+        assert list(profile(found, name, "order_count").items()) == list(want.items()), name
+    assert profile(found, "month", "order_count") == {"2024-01": 3, "2024-02": 0}
+
+    early = orders.page(order_lines, as_of=dt.date(2024, 1, 7))
+    assert profile(early, "day", "order_count") == {"2024-01-06": 1, "2024-01-07": 0}
+    assert sum(profile(early, "weekday", "order_count").values()) == 3
+
+    found = revenue.page(order_lines)
+    price = "Order_Total_Price"
+    assert profile(found, "day", price) == single(revenue.per_day(order_lines), "day", price)
+    assert profile(found, "hour", price) == single(revenue.by_hour(order_lines), "Hour_Of_Day", "Total_Revenue")
+    assert profile(found, "category", price) == single(revenue.weekday_weekend(order_lines), "Category", "Revenue")
+
+
 def test_first_known_price_against_first_line(order_lines, one, rows):
     # mean of 20, 5, 7.5 and 1: the first known price per known order
     assert one(orders.avg_value(order_lines)) == 8.38
@@ -261,6 +295,9 @@ def test_empty_tables(spark, name):
         assert len(got) in (2, 7, 24)
         assert all(not v for r in got for k, v in r.asDict().items()
                    if k in ("Count", "Revenue", "Percentage"))
+    elif name.endswith("_page"):
+        assert sorted({r[0] for r in got}) == ["category", "hour", "weekday"] and len(got) == 33
+        assert not any(r[3] for r in got)
     elif name == "cj_bounce_rate_event":
         assert [r.Bounce_Rate for r in got] == [0.0] * 4
     elif len(got) == 1:
