@@ -9,7 +9,8 @@ cheapest sequence that is not full. A window opens as many sequences as its
 tokens fill and hands the rest to the next one. The last window of a task opens
 sequences of decreasing powers of two for its rest, so nothing is padded at all.
 
-No shuffle is needed and memory is bounded by a window and the longest document.
+No shuffle is needed and memory is bounded by a window, the texts tokenised together
+(some MB, or an Arrow batch) and the longest document.
 Sequence ids hold the partition's number, so a task that runs again gives the same.
 
 Added tokens of the tokenizer's file that stand in a text get their ids, as by the
@@ -24,20 +25,28 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, zip_longest
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
 from tokenizers.pre_tokenizers import ByteLevel
 
 from basketry.llm.common import in_worker
-from basketry.llm.pieces import CACHE_BYTES, PieceEncoder
+from basketry.llm.pieces import CACHE_BYTES, RowEncoder
 
+#: Texts tokenised together, as repeated pieces are then looked up once.
+TOGETHER_BYTES = 8 * 1024**2
+#: Matches given to the tokenizer's model at once.
+JOINED = 64
 
-class _Pieces(PieceEncoder):
+
+class _Pieces(RowEncoder):
     def __init__(self, tokenizer_file: str, pattern: str, added_tokens: bool, cache_bytes: int = CACHE_BYTES):
         super().__init__(pattern, cache_bytes)
         self.tokenizer = Tokenizer.from_str(tokenizer_file)
@@ -54,26 +63,78 @@ class _Pieces(PieceEncoder):
         for code in range(128, 2048):  # the second byte of two-byte characters gives the rest
             pair = alphabet.pre_tokenize_str(chr(code))[0][0]
             shown |= dict(zip(chr(code).encode().decode("latin-1"), pair))
-        self.shown = str.maketrans(shown)
+        self.shown, self.space = str.maketrans(shown), shown[" "]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        #: What an entry may hold before a space, and a lone space.
+        self.open_ends = {entry[at - 1] for entry in vocabulary for at in range(1, len(entry)) if entry[at] == self.space}
+        self.open_ends |= {"", self.space}
+        self.leads = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.leads[[number for entry, number in vocabulary.items() if entry[:1] == self.space]] = True
+        model = self.tokenizer.model
+        self.joins = isinstance(model, BPE) and self.space in vocabulary and not (
+            model.dropout
+            or model.unk_token
+            or model.continuing_subword_prefix
+            or model.end_of_word_suffix
+            or model.ignore_merges
+        )
 
     def encode_match(self, match: str) -> list[int]:
         """The tokenizer's model on one match; added tokens in it are ordinary text."""
-        shown = match.encode().decode("latin-1").translate(self.shown)
+        return self.ids_shown(self.show(match))
+
+    def show(self, text: str) -> str:
+        return text.encode().decode("latin-1").translate(self.shown)
+
+    def ids_shown(self, shown: str) -> list[int]:
         return [token.id for token in self.tokenizer.model.tokenize(shown)]
 
+    def encode_leads(self, matches: list[str]) -> list[bytes]:
+        """Ids of matches that start with a space, some matches at once.
+
+        The model merges neighbours into entries of its vocabulary only. Where no entry holds a
+        match's last byte and a space after it, merges stay within the matches.
+        """
+        words = self.show("".join(matches)).split(self.space)[1:]
+        if not self.joins or len(words) != len(matches):
+            return super().encode_leads(matches)
+        found = [b""] * len(words)
+        parted = []
+        for i, word in enumerate(words):
+            if word[-1:] in self.open_ends:
+                found[i] = np.array(self.ids_shown(self.space + word), "<u4").tobytes()
+            else:
+                parted.append(i)
+        for at in range(0, len(parted), JOINED):
+            some = parted[at : at + JOINED]
+            ids = np.array(self.ids_shown("".join([self.space + words[i] for i in some])), "<u4")
+            data, starts = ids.tobytes(), (4 * np.flatnonzero(self.leads[ids])).tolist()
+            for i, start, end in zip(some, starts, [*starts[1:], len(data)], strict=True):
+                found[i] = data[start:end]
+        return found
+
     def encode_all(self, text: str) -> bytes:
         """Ids of a text and of the added tokens in it."""
         if not any(token in text for token in self.added):
             return self.encode(text)
         if not self.bare:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        parts = []
-        for number, part in enumerate(self.cut.split(text)):
-            if number % 2:
-                parts.append(np.array([self.added[part]], "<u4").tobytes())
-            elif part:
-                parts.append(self.encode(part))
-        return b"".join(parts)
+        parts = self.cut.split(text)
+        plain = super().encode_rows(pa.array(parts[::2], pa.large_string()))
+        tokens = [np.array([self.added[token]], "<u4").tobytes() for token in parts[1::2]]
+        return b"".join(chain.from_iterable(zip_longest(plain, tokens, fillvalue=b"")))
+
+    def encode_rows(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of texts and of the added tokens in them."""
+        with_added = np.zeros(len(texts), bool)
+        for token in self.added:
+            with_added |= pc.fill_null(pc.match_substring(texts, token), False).to_numpy(zero_copy_only=False)
+        if not with_added.any():
+            yield from super().encode_rows(texts)
+            return
+        others = pc.if_else(pa.array(with_added), None, texts)
+        for i, ids in enumerate(super().encode_rows(others)):
+            yield self.encode_all(texts[i].as_py()) if with_added[i] else ids
 
 
 def _pieces(*form) -> _Pieces:
@@ -103,11 +164,10 @@ class Tokens:
         self.pattern, self.added_tokens, self.cache_bytes = pattern, added_tokens, cache_bytes
         self.end = np.array([end_id], "<u4").tobytes()
 
-    def encode(self, text: str | None) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if not text:
-            return self.end
-        return _pieces(self.file.value, self.pattern, self.added_tokens, self.cache_bytes).encode_all(text) + self.end
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        pieces = _pieces(self.file.value, self.pattern, self.added_tokens, self.cache_bytes)
+        return (ids + self.end for ids in pieces.encode_rows(texts.cast(pa.large_string())))
 
 
 def tokenize(text: Column, tokens: Tokens) -> Column:
@@ -115,11 +175,29 @@ def tokenize(text: Column, tokens: Tokens) -> Column:
 
     @F.arrow_udf("binary")
     def ids(texts: pa.Array) -> pa.Array:
-        return pa.array([tokens.encode(t) for t in texts.to_pylist()], pa.binary())
+        return pa.array(tokens.encode(texts), pa.binary())
 
     return ids(text)
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Keys and texts of some batches that follow each other."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= TOGETHER_BYTES:
+            yield _joined(held)
+            held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> tuple[pa.Array, pa.Array]:
+    texts = [batch.column(1).cast(pa.large_string()) for batch in batches]
+    return pa.concat_arrays([batch.column(0) for batch in batches]), pa.concat_arrays(texts)
+
+
 class _Packer:
     """Pieces are (row, start, length); sequences fill up to ``size`` tokens."""
 
@@ -201,11 +279,10 @@ def pack(
                 columns += [pa.array(ids, pa.binary())] * with_ids
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-        for batch in batches:
-            key_type = batch.schema[0].type
+        for keys, texts in _together(batches):
+            key_type = keys.type
             ready = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                row = (key, tokens.encode(text.as_py()))
+            for row in zip(keys.to_pylist(), tokens.encode(texts)):
                 length = len(row[1]) // 4
                 for start in range(0, length - length % size, size):
                     ready.append(packer.whole(row, start))

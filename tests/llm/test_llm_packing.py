@@ -97,3 +97,51 @@ def test_added_tokens_that_take_in_spaces_are_as_the_library_has_them():
     for text in ("a  <|endoftext|> b", "a<|endoftext|>b", " <|endoftext|>", "plain"):
         ids = default.encode(text, add_special_tokens=False).ids
         assert own.encode_all(text) == struct.pack(f"<{len(ids)}I", *ids)
+
+
+def test_unseen_words_go_to_the_model_together(tokenizer):
+    from types import SimpleNamespace
+
+    with open(queries.TOKENIZER, encoding="utf-8") as file:
+        own = packing._Pieces(file.read(), public_tokenizers.PATTERN, True)
+    model, calls = own.tokenizer.model, []
+    own.tokenizer = SimpleNamespace(model=SimpleNamespace(tokenize=lambda word: calls.append(word) or model.tokenize(word)))
+    text = " ".join("abcdefghij"[i // 100] + "klmnopqrst"[i // 10 % 10] + "uvwxyzabcd"[i % 10] * 3 for i in range(1000))
+    ids = tokenizer.encode(text, add_special_tokens=False).ids
+    for _ in range(2):
+        assert own.encode_all(text) == struct.pack(f"<{len(ids)}I", *ids)
+    assert len(calls) < 1000 / 10
+
+
+@pytest.mark.parametrize("cache_bytes", [0, 20_000, packing.CACHE_BYTES])
+def test_texts_tokenised_together_are_as_the_library_has_them(cache_bytes):
+    import pyarrow as pa
+
+    with open(queries.TOKENIZER, encoding="utf-8") as file:
+        form = file.read()
+    own, default = packing._Pieces(form, public_tokenizers.PATTERN, True, cache_bytes), Tokenizer.from_str(form)
+    texts = ["voilà là à la", "\xa0 a\xa0 b", "a \t b", "\t \tb", "a\x1c b \x1c", "  two  ", " ", "it's  a\n\n b, b. b", "日本 日本 é"]
+    texts += ["", None, "x <|endoftext|>  y", *(f"common {i} words{i} common" for i in range(300))]
+    for _ in range(2):
+        found = list(own.encode_rows(pa.array(texts, pa.large_string())))
+        for text, ids in zip(texts, found, strict=True):
+            wanted = default.encode(text or "", add_special_tokens=False).ids
+            assert ids == struct.pack(f"<{len(wanted)}I", *wanted), text
+
+
+def test_pieces_in_use_stay_in_a_full_cache():
+    import pyarrow as pa
+
+    from basketry.llm.pieces import RowEncoder
+
+    class Counting(RowEncoder):
+        made: list[str] = []
+
+        def encode_match(self, match):
+            self.made.append(match)
+            return [len(match)]
+
+    encoder = Counting(public_tokenizers.PATTERN, 20_000)
+    for i in range(200):
+        list(encoder.encode_rows(pa.array([f"a common word{'x' * (i % 40)}{'y' * (i // 40)}"], pa.large_string())))
+    assert encoder.old_later and encoder.made.count(" common") == 1
