@@ -10,7 +10,7 @@ tokens fill and hands the rest to the next one. The last window of a task opens
 sequences of decreasing powers of two for its rest, so nothing is padded at all.
 
 No shuffle is needed and memory is bounded by a window, the texts tokenised together
-(some MB, or an Arrow batch) and the longest document.
+(some MB of an Arrow batch or several) and the longest document.
 Sequence ids hold the partition's number, so a task that runs again gives the same.
 
 Added tokens of the tokenizer's file that stand in a text get their ids, as by the
@@ -180,15 +180,17 @@ def tokenize(text: Column, tokens: Tokens) -> Column:
     return ids(text)
 
 
-def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """Keys and texts of some batches that follow each other."""
+def _together(batches: Iterator[pa.RecordBatch], enough: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Keys and texts of rows that follow each other, by about ``enough`` bytes."""
     held, size = [], 0
     for batch in batches:
-        held.append(batch)
-        size += batch.nbytes
-        if size >= TOGETHER_BYTES:
-            yield _joined(held)
-            held, size = [], 0
+        rows = max(1, batch.num_rows * enough // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, rows):
+            held.append(batch.slice(at, rows))
+            size += held[-1].nbytes
+            if size >= enough:
+                yield _joined(held)
+                held, size = [], 0
     if held:
         yield _joined(held)
 
@@ -248,14 +250,16 @@ def pack(
     quadratic: float = 1 / 2048,
     window: int = 512,
     with_ids: bool = True,
+    together: int = TOGETHER_BYTES,
 ) -> DataFrame:
     """Tokenise texts and pack them into sequences of ``size`` tokens.
 
     One row per piece: the id column, ``start`` (ids of the document before it),
     ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset`` in the sequence
     and, unless ``with_ids`` is false, ``ids`` (binary). ``window`` is the number of
-    sequences filled together. One Python worker per task does all, so ids of a text cross
-    no process before they are packed.
+    sequences filled together, ``together`` the bytes of texts tokenised together: less costs
+    time only. One Python worker per task does all, so ids of a text cross no process before
+    they are packed.
     """
     kind = df.schema[id_column].dataType
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -279,7 +283,7 @@ def pack(
                 columns += [pa.array(ids, pa.binary())] * with_ids
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-        for keys, texts in _together(batches):
+        for keys, texts in _together(batches, together):
             key_type = keys.type
             ready = []
             for row in zip(keys.to_pylist(), tokens.encode(texts)):

@@ -70,10 +70,16 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def packed(spark: SparkSession, docs: DataFrame, with_ids: bool = False, **options) -> DataFrame:
+def packed(
+    spark: SparkSession,
+    docs: DataFrame,
+    with_ids: bool = False,
+    together: int = packing.TOGETHER_BYTES,
+    **options,
+) -> DataFrame:
     """Pieces of tokenised documents in sequences of 2048, with the checksum of their ids."""
     tokens = packing.Tokens(spark, TOKENIZER, public_tokenizers.PATTERN, end_id=1, added_tokens=True, **options)
-    return packing.pack(docs, "doc_id", "text", tokens, size=2048, with_ids=with_ids)
+    return packing.pack(docs, "doc_id", "text", tokens, size=2048, with_ids=with_ids, together=together)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

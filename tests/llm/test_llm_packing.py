@@ -145,3 +145,13 @@ def test_pieces_in_use_stay_in_a_full_cache():
     for i in range(200):
         list(encoder.encode_rows(pa.array([f"a common word{'x' * (i % 40)}{'y' * (i // 40)}"], pa.large_string())))
     assert encoder.old_later and encoder.made.count(" common") == 1
+
+
+def test_batches_are_cut_and_joined_to_about_the_bytes_asked_for():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"document": list(range(100)), "text": ["x" * 1000] * 100})
+    for enough in (1, 5_000, 250_000):
+        groups = list(packing._together(iter([batch, batch.slice(0, 0), batch]), enough))
+        assert [k for keys, _ in groups for k in keys.to_pylist()] == list(range(100)) * 2
+        assert max(texts.nbytes for _, texts in groups) < 2 * enough + 2_100
