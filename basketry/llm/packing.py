@@ -41,7 +41,7 @@ from basketry.llm.common import in_worker
 from basketry.llm.pieces import CACHE_BYTES, RowEncoder
 
 #: Texts tokenised together, as repeated pieces are then looked up once.
-TOGETHER_BYTES = 8 * 1024**2
+TOGETHER_BYTES = 16 * 1024**2
 #: Matches given to the tokenizer's model at once.
 JOINED = 64
 
