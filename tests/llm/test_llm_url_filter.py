@@ -120,3 +120,30 @@ def test_without_decided_urls_or_rows(spark):
 def test_main_path_runs_no_python(spark, sample_dir):
     plan = queries.op7_url_filter(spark, sample_dir)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_no_join_gathers_on_the_driver(spark, monkeypatch):
+    plans, write = [], url_filter.keep
+
+    def plan_of(df):
+        df.collect()
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def keep(df, name):
+        plans.append(plan_of(df))
+        return write(df, name)
+
+    prepare(spark)
+    monkeypatch.setattr(url_filter, "keep", keep)
+    given = {i: f"http://a{i % 9}.{'com' if i % 2 else 'net'}/{'es' if i % 3 else 'de'}/{i}" for i in range(60)}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        df = spark.createDataFrame([(k, u, "h", 0.0) for k, u in given.items()], PAGES)
+        done = url_filter.judge(df, "page_id", "url", queries.URL_RULES)
+        plans.append(plan_of(done))
+        check({r.row.page_id: r for r in done.collect()}, given)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert any("SortMergeJoin" in plan for plan in plans)
+    assert not any("Broadcast" in plan for plan in plans)
